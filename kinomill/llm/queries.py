@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("topn_queries", "bpe_queries", "leaks_queries", "forest_queries", "texttype_queries", "neighbours_queries")
+MODULES = ("topn_queries", "bpe_queries", "leaks_queries", "forest_queries", "texttype_queries", "neighbours_queries", "matching_queries")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
