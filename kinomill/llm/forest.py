@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinomill.lineage import remove_path, scratch_path
@@ -112,32 +112,33 @@ class HashForest:
         self.ledgers: list[str] = []
         self.written = 0
 
-    def accept(self, batch: DataFrame, level: int = 0) -> DataFrame:
-        """Adds ``batch`` (``key``, ``content`` in canonical form, ``record``: a struct that orders all records by their coming).
-
-        Gives ``key``, ``record`` and ``first``, the first record with the same content, for all of the batch that is not the first itself.
-        """
-        batch = batch.filter("content IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("content", "record"), "record").alias("x")).select("key", "x.*")
-        batch = self._keep(batch, "batch")
+    def accept(self, batch: DataFrame, level: int = 0) -> None:
+        """Adds ``batch``: ``key``, ``content`` in canonical form, and ``record``, a struct that orders all records by their coming."""
+        batch = batch.filter("content IS NOT NULL").groupBy("key").agg(F.min_by("content", "record").alias("content"), F.min("record").alias("record"))
         contents = batch.groupBy("content").agg(F.min("record").alias("first"))
         known = self._ledger()
         fresh = contents if known is None else contents.join(known.select("content"), "content", "left_anti")
-        fresh = self._keep(fresh, "fresh")
-        if not fresh.isEmpty():
+        fresh, new = self._keep(fresh, "fresh", F.count("*"))
+        if new:
             self._add_run(fresh, level)
             best = self._search(fresh)
             entry = fresh.join(best, "content", "left").select("content", F.least("first", F.coalesce("best", "first")).alias("earliest"))
             self._write(entry, "ledger", self.ledgers)
+
+    def seen_before(self, records: DataFrame) -> DataFrame:
+        """``key``, ``record`` and ``first``, the first record with the same content, for all accepted ``records`` that are not the first themselves."""
         known = self._ledger()
+        records = records.filter("content IS NOT NULL").groupBy("key").agg(F.min_by("content", "record").alias("content"), F.min("record").alias("record"))
         if known is None:
-            return batch.select("key", "record", F.col("record").alias("first"))
-        return batch.join(known, "content").filter("earliest < record").select("key", "record", F.col("earliest").alias("first"))
+            return records.limit(0).select("key", "record", F.col("record").alias("first"))
+        return records.join(known, "content").filter("earliest < record").select("key", "record", F.col("earliest").alias("first"))
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str, measure: Column) -> tuple[DataFrame, int]:
+        """``df`` written and read again, and a measure of it that is taken while it is written."""
         self.written += 1
-        path = f"{self.path}/{name}-{self.written}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path, seen = f"{self.path}/{name}-{self.written}", Observation()
+        df.observe(seen, measure.alias("measure")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), seen.get["measure"] or 0
 
     def _write(self, df: DataFrame, name: str, paths: list[str]) -> None:
         self.written += 1
@@ -163,11 +164,11 @@ class HashForest:
     def _write_run(self, entries: DataFrame, level: int) -> None:
         """Ranges stay whole in a file, sorted by permutation and signature."""
         coming = Window.partitionBy("perm", "prefix").orderBy("record")
-        paths: list[str] = []
         run = entries.repartitionByRange("perm", "prefix").withColumn("slot", F.row_number().over(coming))
-        self._write(run.sortWithinPartitions("perm", "prefix", "w0", "w1", "w2", "w3"), "run", paths)
-        most = self.spark.read.parquet(paths[0]).agg(F.max("slot")).first()[0] or 0
-        self.runs.append((level, paths[0], most))
+        self.written += 1
+        path, seen = f"{self.path}/run-{self.written}", Observation()
+        run.observe(seen, F.max("slot").alias("most")).sortWithinPartitions("perm", "prefix", "w0", "w1", "w2", "w3").write.parquet(path)
+        self.runs.append((level, path, seen.get["most"] or 0))
 
     def _search(self, contents: DataFrame) -> DataFrame:
         """``content`` and ``best``, the first record within the radius."""
@@ -183,7 +184,7 @@ class HashForest:
         crowded = [p for _, p, most in self.runs if most > SLOTS]
         if not crowded:
             return near
-        near = self._keep(near, "near")
+        near, _ = self._keep(near, "near", F.count("*"))
         return near.unionByName(self._search_rest(asked, near, self.spark.read.parquet(*crowded))).groupBy("content").agg(F.min("best").alias("best"))
 
     def _search_rest(self, asked: DataFrame, near: DataFrame, runs: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +22,16 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
         _record(0, F.lit(0), F.lit(0), F.coalesce("media_id", F.lit("")), F.col("media_id")).alias("record"),
     )
     requests = table(spark, folder, "requests").select(
-        "batch_no",
+        F.coalesce("batch_no", F.lit(0)).alias("batch_no"),
         F.col("request_id").alias("key"),
         canonical(F.col("source_fingerprint")).alias("content"),
         _record(1, F.coalesce("batch_no", F.lit(0)), F.col("request_id"), F.lit(""), F.col("media_id")).alias("record"),
     )
     forest = HashForest(spark)
     forest.accept(videos, level=2)
-    found = []
-    for (batch,) in sorted(requests.select(F.coalesce("batch_no", F.lit(0))).distinct().collect()):
-        found.append(forest.accept(requests.filter(F.coalesce("batch_no", F.lit(0)) == batch).drop("batch_no")))
-    if not found:
-        found = [forest.accept(requests.drop("batch_no"))]
-    return reduce(DataFrame.unionAll, found).select(F.col("key").alias("request_id"), F.col("first.media_id").alias("media_id"))
+    for (batch,) in sorted(requests.select("batch_no").distinct().collect()):
+        forest.accept(requests.filter(F.col("batch_no") == batch).drop("batch_no"))
+    return forest.seen_before(requests.drop("batch_no")).select(F.col("key").alias("request_id"), F.col("first.media_id").alias("media_id"))
 
 
 QUERIES = {"p3_found": p3_found}
