@@ -49,7 +49,7 @@ def canonical(written: Column) -> Column:
     White space around it, case, separators between digits and a tag in front (``0x``,
     or a word that ends with a colon or an equals sign) do not count.
     """
-    text = F.lower(F.regexp_replace(written, r"(?U)^\s+|\s+$", ""))
+    text = F.lower(F.regexp_replace(written, r"(?U)^\s+|(?<!\s)\s+$", ""))
 
     def digits(x: Column) -> Column:
         return F.regexp_replace(x, r"(?U)[\s:._-]", "")

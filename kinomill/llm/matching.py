@@ -60,7 +60,7 @@ LITTLE = "a an the of in for from to and le la les l un une de des du d der die
 LETTERS = {"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
 NUMERALS = {"ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 _CASE = re.compile(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ]|II|IV|[A-ZÀ-Þ]$|\d)")
-_ASIDE = re.compile(r"[\[(][^\])]*[\])]")
+_ASIDE = re.compile(r"[\[(][^\[\]()]*[\])]")
 _EXTENSION = re.compile(r"\.(?:mkv|mp4|avi|mov|ts|m4v|wmv|flv|webm|mpg|mpeg)\s*$", re.IGNORECASE)
 
 
@@ -101,21 +101,24 @@ def slips(a: str, b: str, most: int) -> int:
     """Letters to insert, delete, replace or swap with their neighbour to turn ``a`` into ``b``; ``most + 1`` if more than ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    older: list[int] = []
-    old = list(range(len(b) + 1))
+    wide = 2 * most + 1  # the table's band: place k of row i is column i + k - most
+    over = most + 1
+    older = [over] * (wide + 2)
+    old = [k - most if most <= k <= most + len(b) else over for k in range(wide)] + [over, over]
     for i, x in enumerate(a, 1):
-        low, high = max(1, i - most), min(len(b), i + most)
-        new = [most + 1] * (len(b) + 1)
-        if i <= most:
-            new[0] = i
-        for j in range(low, high + 1):
-            y = b[j - 1]
-            best = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, older[j - 2] + 1)
-            new[j] = best
+        new = [over] * (wide + 2)
+        for k in range(wide):
+            j = i + k - most
+            if j == 0:
+                new[k] = i
+            elif 0 < j <= len(b):
+                y = b[j - 1]
+                best = min(old[k] + (x != y), old[k + 1] + 1, new[k - 1] + 1 if k else over)
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                    best = min(best, older[k] + 1)
+                new[k] = min(best, over)
         older, old = old, new
-    return min(old[-1], most + 1)
+    return min(old[len(b) - len(a) + most], over)
 
 
 def _slips(a: Column, b: Column, most: int) -> Column:
@@ -134,7 +137,7 @@ def file_title(name: str | None) -> str | None:
     """What a file name says of the title: without extension, a year in front, and all from a year or brackets on."""
     if not name:
         return None
-    stem = _EXTENSION.sub("", name)
+    stem = re.sub(r"[\s_.]+", lambda m: m[0][:1], _EXTENSION.sub("", name))
     stem = re.sub(r"^\s*(?:\[[^\]]*\]\s*)?(?:(?:18|19|20)\d\d\s*-\s+)?", "", stem)
     return re.split(r"[\s._\-]*(?:[\[(].*|\b(?:18|19|20|21)\d\d(?=[\s._\-\])]|$).*)$", stem.replace("_", " ").replace(".", " "), maxsplit=1)[0] or stem
 
