@@ -34,8 +34,8 @@ YEAR_IN_NAME = r"(?:^|[ ._\-\[\(])((?:18|19|20|21)\d{2})(?:$|[ ._\-\]\)])"
 
 
 def trimmed(x: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends. The look-behind keeps long runs inside a text linear."""
+    return F.regexp_replace(x, r"(?U)^\s+|(?<!\s)\s+$", "")
 
 
 def lowered(x: Column) -> Column:

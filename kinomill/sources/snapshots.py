@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kinomill.functions import numbers, text
 
-MEDIA = T.StructType.fromDDL(
-    "media_id string, movie_id string, type string, title string, original_title string, year int, duration double, language array<string>, description string, tags array<string>, source_url string,"
-    " metadata string, scenes array<struct<scene_id:string,start:double,end:double,preview:string,caption:string,subtitle:string,quality_score:float,person_ids:array<string>>>"
-)
+#: Columns of a media line.
+MEDIA = {
+    "media_id": "string", "movie_id": "string", "type": "string", "title": "string", "original_title": "string", "year": "int", "duration": "double", "language": "array<string>", "description": "string",
+    "tags": "array<string>", "source_url": "string", "metadata": "string",
+    "scenes": "array<struct<scene_id:string,start:double,end:double,preview:string,caption:string,subtitle:string,quality_score:float,person_ids:array<string>>>",
+}
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -86,5 +87,5 @@ def allowed_ids(lines: DataFrame) -> DataFrame:
 
 def media_lines(spark: SparkSession, path: str) -> DataFrame:
     """Media of a file of JSON lines; a bad line stops the load, a missing id is made from the line."""
-    rows = spark.read.schema(MEDIA).option("mode", "FAILFAST").json(path)
-    return rows.withColumn("media_id", F.when(F.coalesce("media_id", F.lit("")) == "", F.md5(F.to_json(F.struct(*MEDIA.names)))).otherwise(F.col("media_id")))
+    rows = spark.read.schema(", ".join(f"{name} {kind}" for name, kind in MEDIA.items())).option("mode", "FAILFAST").json(path)
+    return rows.withColumn("media_id", F.when(F.coalesce("media_id", F.lit("")) == "", F.md5(F.to_json(F.struct(*MEDIA)))).otherwise(F.col("media_id")))
