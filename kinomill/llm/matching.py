@@ -279,6 +279,9 @@ def match_records(entries: DataFrame, records: DataFrame) -> DataFrame:
     apart = F.abs(F.col("year") - F.col("e_year"))
     off = F.abs(F.col("seconds") - F.col("e_minutes") * 60)
     met = met.filter((F.col("number") == F.col("e_number")) & (apart.isNull() | (apart <= YEARS_APART)) & (off.isNull() | (off < SECONDS_APART)))
+    # far names go before any of them reaches Python
+    most = 2 * (SLIPS + 2)
+    met = met.filter((F.levenshtein(F.col("whole"), F.col("e_whole"), most) >= 0) | (F.levenshtein(F.col("telling"), F.col("e_telling"), most) >= 0))
     met = met.withColumn("slips", F.least(_slips(F.col("whole"), F.col("e_whole"), SLIPS + 2), _slips(F.col("telling"), F.col("e_telling"), SLIPS + 2)))
     allowed = F.lit(SLIPS) + apart.isNotNull().cast("int") + off.isNotNull().cast("int")
     longer = F.greatest(F.length("telling"), F.length("e_telling"))
