@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinomill.functions.binding import bind, bind_list
+
 #: Letters that lose their mark, letters that become two, words too general to search by, and codec names.
 MARKED = "ÀÁÂÃÄÅàáâãäåÇçÐðÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöØøÙÚÛÜùúûüÝŸýÿŠšŽžŁł"
 UNMARKED = "AAAAAAaaaaaaCcDdEEEEeeeeIIIIiiiiNnOOOOOoooooOoUUUUuuuuYYyySsZzLl"
@@ -129,14 +131,14 @@ def scene_text(*parts: Column) -> Column:
 def search_tokens(x: Column) -> Column:
     """Words of Latin letters and digits; then single Chinese characters, their pairs and their triples."""
     x = F.lower(x)
-    signs = F.regexp_extract_all(x, F.lit(r"([\x{4e00}-\x{9fff}])"), 1)
 
-    def runs(n: int) -> Column:
+    def runs(signs: Column, n: int) -> Column:
         return F.when(
             F.size(signs) >= n, F.transform(F.sequence(F.lit(1), F.size(signs) - (n - 1)), lambda i: F.array_join(F.slice(signs, i, F.lit(n)), ""))
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(F.regexp_extract_all(x, F.lit("([a-z0-9]+)"), 1), signs, runs(2), runs(3))
+    signs = F.regexp_extract_all(x, F.lit(r"([\x{4e00}-\x{9fff}])"), 1)
+    return F.concat(F.regexp_extract_all(x, F.lit("([a-z0-9]+)"), 1), bind_list(signs, lambda s: F.concat(s, runs(s, 2), runs(s, 3))))
 
 
 def clock(seconds: Column) -> Column:
@@ -247,9 +249,12 @@ def hint_score(title: Column, original: Column, query: Column, tokens: Column, s
             value != "", F.when(value == query, 500).otherwise(0) + F.when(value.startswith(query), 10).otherwise(0) + F.when(value.contains(query), F.length(query)).otherwise(0)
         ).otherwise(0)
     both = F.array(normalized(F.coalesce(title, F.lit(""))), normalized(F.coalesce(original, F.lit(""))))
-    return score + F.aggregate(
-        F.filter(tokens, useful_token), F.lit(0), lambda total, t: total + F.when(F.exists(both, lambda v: v.contains(t)), 100 + F.length(t)).otherwise(0)
-    )
+
+    def shared(values: Column) -> Column:
+        found = F.filter(tokens, lambda t: useful_token(t) & F.exists(values, lambda v: v.contains(t)))
+        return F.aggregate(found, F.lit(0), lambda total, t: total + 100 + F.length(t))
+
+    return score + bind(both, shared)
 
 
 def search_order(hints: Column) -> Column:
@@ -268,5 +273,10 @@ def title_hints(values: Sequence[Column]) -> Column:
     """Each value and what a file name of that form says, each once by its normalized form."""
     both = F.flatten(F.array(*(F.array(trimmed(F.coalesce(v, F.lit(""))), resolved_name(F.coalesce(v, F.lit("")))["title"]) for v in values)))
     kept = F.filter(both, lambda h: normalized(h) != "")
-    keys = F.transform(kept, normalized)
-    return F.filter(kept, lambda h, i: F.array_position(keys, normalized(h)) == i + 1)
+    pairs = F.transform(kept, lambda h: F.struct(h.alias("hint"), normalized(h).alias("key")))
+
+    def first_of_key(pairs: Column) -> Column:
+        firsts = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
+        return F.transform(firsts, lambda p: p["hint"])
+
+    return bind_list(pairs, first_of_key)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinomill.functions.binding import bind_list
+
 #: Seconds at the ends in which no boundary counts, and the least distance of two.
 HEAD, TAIL, APART = 0.25, 0.05, 0.5
 LOOK_BACK, LOOK_AHEAD, JOIN = 10.0, 1.0, 0.25
@@ -32,7 +34,7 @@ def scene_intervals(boundaries: Column, duration: Column) -> Column:
         F.array(F.lit(0.0)),
         lambda s, t: F.when((t > F.get(s, F.size(s) - 1) + APART) & (t < duration - TAIL), F.concat(s, F.array(t))).otherwise(s),
     )
-    scenes = F.transform(starts, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(starts, i + 1), duration).alias("end")))
+    scenes = bind_list(starts, lambda all_: F.transform(all_, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(all_, i + 1), duration).alias("end"))))
     return F.filter(scenes, lambda x: x["end"] > x["start"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinomill.functions.vectors import cosine, mean_of_top
+from kinomill.functions.vectors import cosine, inner_product, mean_of_top
 
 MATCH, MARGIN, DETECTION, REFERENCES, TOP = 0.45, 0.05, 0.6, 10, 3
 
@@ -25,7 +25,10 @@ def person_scores(faces: DataFrame, references: DataFrame, group: str) -> DataFr
 
     The references of a group are those of its cast, at most :data:`REFERENCES` a person.
     """
-    pairs = faces.join(references, group).select("face_id", "scene_id", "person_id", cosine(F.col("embedding"), F.col("vector"), -1.0).alias("s"))
+    faces = faces.withColumn("_a", inner_product(F.col("embedding"), F.col("embedding")))
+    references = references.withColumn("_b", inner_product(F.col("vector"), F.col("vector")))
+    similarity = cosine(F.col("embedding"), F.col("vector"), -1.0, F.col("_a") * F.col("_b"))
+    pairs = faces.join(references, group).select("face_id", "scene_id", "person_id", similarity.alias("s"))
     best = Window.partitionBy("face_id", "person_id").orderBy(F.desc("s"))
     top = pairs.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= TOP)
     return top.groupBy("face_id", "scene_id", "person_id").agg(mean_of_top(F.collect_list("s"), TOP).alias("score"))

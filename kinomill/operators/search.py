@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kinomill.functions.numbers import rounded_score
 from kinomill.functions.text import preview_frame_index, preview_reference
-from kinomill.functions.vectors import cosine
+from kinomill.functions.vectors import cosine_to
 
 DEFAULT_LIMIT, MOST, SCENES_OF_A_MEDIA, DEFAULT_SCORE = 16, 100, 5, 0.3
 
@@ -93,8 +93,7 @@ def comparable(model: str, dimensions: int) -> Column:
 
 def scored(documents: DataFrame, request: SearchRequest) -> DataFrame:
     """Adds ``score`` and keeps scores above the threshold, compared in single precision."""
-    query = F.lit([float(x) for x in request.vector]).cast("array<float>")
-    rows = documents.withColumn("score", cosine(F.col("embedding"), query))
+    rows = documents.withColumn("score", cosine_to(F.col("embedding"), request.vector))
     return rows.filter(F.col("score") > F.lit(request.min_score).cast("float"))
 
 

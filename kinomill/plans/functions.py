@@ -441,7 +441,7 @@ def vector_norm_ag16(spark, folder):
 
 @plan()
 def hash_embed_u01(spark, folder):
-    rows = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", vectors.hashed_tokens(text.search_tokens(F.col("text"))).alias("v"))
+    rows = table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", vectors.hashed_texts(F.col("text")).alias("v"))
     return rows.select("doc_id", F.size("v").alias("dimensions"), F.round(vectors.norm(F.col("v")), 5).alias("norm"))
 
 

@@ -148,9 +148,6 @@ def vector_drift_ag15(spark, folder):
 @plan()
 def hash_search_u01_u08(spark, folder):
     """Documents searched by a text, both embedded by the same hash."""
-    from kinomill.functions.text import search_tokens
-
-    tokens = spark.range(1).select(search_tokens(F.lit("the winter garden")).alias("t"))
-    query = tokens.select(vectors.hashed_tokens(F.col("t")).alias("v")).first()["v"]
-    rows = table(spark, folder, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("scene_id"), vectors.hashed_tokens(search_tokens(F.col("text"))).alias("embedding"))
+    query = spark.range(1).select(vectors.hashed_texts(F.lit("the winter garden")).alias("v")).first()["v"]
+    rows = table(spark, folder, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("scene_id"), vectors.hashed_texts(F.col("text")).alias("embedding"))
     return search.search_scenes(rows, SearchRequest(query, min_score=0.1)).select(F.col("scene_id").alias("doc_id"), F.round(F.col("score").cast("double"), 5).alias("score"))

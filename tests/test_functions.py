@@ -62,6 +62,10 @@ def test_vectors(spark):
     assert values(spark, [(bytearray(b"abc"),)], "b binary", vectors.from_bytes(F.col("b"))) == [[]]
     assert values(spark, [([],), (["a", "a"],)], "t array<string>", F.round(vectors.norm(vectors.hashed_tokens(F.col("t"), 8)), 5)) == [0.0, 1.0]
 
+    assert vectors.case_folded_tokens("Straße 雨中人 x2") == ["strasse", "x2", "雨", "中", "人", "雨中", "中人", "雨中人"]
+    texts = values(spark, [("a A b",), (None,), ("",)], "t string", vectors.hashed_texts(F.col("t"), 16))
+    assert texts[0] == values(spark, [(["a", "a", "b"],)], "t array<string>", vectors.hashed_tokens(F.col("t"), 16))[0] and texts[1] == texts[2] == [0.0] * 16
+
 
 def test_timeline(spark):
     got = values(spark, [([8.0, 2.0, 2.2, 2.6, 0.1, 9.98],)], "t array<double>", timeline.spaced_boundaries(F.col("t"), F.lit(10.0)))
