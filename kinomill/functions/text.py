@@ -280,3 +280,9 @@ def title_hints(values: Sequence[Column]) -> Column:
         return F.transform(firsts, lambda p: p["hint"])
 
     return bind_list(pairs, first_of_key)
+
+
+def local_preview(path: Column, url: Column) -> Column:
+    """The preview that can be read from disk: the path, else the reference unless it is an address of a service; null if there is none."""
+    found = trimmed(preview_reference(path, url))
+    return F.when((found != "") & ~found.startswith("/v1/") & ~F.lower(found).rlike("^https?://"), found)

@@ -459,3 +459,27 @@ def sync_samples_ar05(spark, folder):
     return table(spark, folder, "orders").select(
         "o_orderkey", F.when(entries.isNotNull(), F.size(entries)).alias("listed"), F.array_join(timeline.sync_samples(entries, F.lit(4)), ",").alias("samples")
     )
+
+
+@plan("SELECT request_id, CASE WHEN reference <> '' AND NOT starts_with(reference, '/v1/') AND NOT regexp_matches(lower(reference), '^https?://') THEN reference END AS preview FROM (SELECT DISTINCT request_id, CASE WHEN coalesce(local_path, '') <> '' THEN local_path WHEN fast_mode THEN '/v1/' || source_name ELSE source_name END AS reference FROM requests)")
+def local_preview_p19(spark, folder):
+    rows = table(spark, folder, "requests").select("request_id", "local_path", "source_name", "fast_mode").distinct()
+    url = F.when(F.col("fast_mode"), F.concat(F.lit("/v1/"), "source_name")).otherwise(F.col("source_name"))
+    return rows.select("request_id", text.local_preview(F.col("local_path"), url).alias("preview"))
+
+
+@plan(
+    f"""SELECT title_id, array_to_string(CASE WHEN list_contains(w, h) OR h = '' THEN w ELSE w || [h] END, '|') AS queries FROM (
+        SELECT title_id, h, list_transform(list_sort(list_distinct(list_transform(list_filter(string_split(h, ' '), lambda t: len(t) >= 4 AND regexp_full_match(t, '[A-Za-z]+')
+          AND t NOT IN ('about', 'after', 'before', 'from', 'into', 'movie', 'the', 'this', 'with')), lambda t: {{'n': -len(t), 't': t}}))), lambda x: x.t) AS w
+        FROM (SELECT title_id, {_loose("coalesce(primary_title, '')")} AS h FROM {TITLES}))"""
+)
+def search_order_sl18_p26(spark, folder):
+    hints = F.array(F.coalesce("primary_title", F.lit("")))
+    return _titles(spark, folder).select("title_id", F.array_join(text.search_order(hints), "|").alias("queries"))
+
+
+@plan("SELECT media_id, sha256(media_id || '|' || coalesce(size_bytes, 0)) AS cache_key FROM (SELECT DISTINCT media_id, size_bytes FROM videos)")
+def index_cache_key_w19(spark, folder):
+    rows = table(spark, folder, "videos").select("media_id", "size_bytes").distinct()
+    return rows.select("media_id", F.sha2(F.concat_ws("|", "media_id", F.coalesce("size_bytes", F.lit(0)).cast("string")), 256).alias("cache_key"))
