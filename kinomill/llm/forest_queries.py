@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinomill.lineage import scratch_path
 from kinomill.llm.forest import HashForest, canonical
 from kinomill.tables import table
 
@@ -29,9 +30,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
     forest = HashForest(spark)
     forest.accept(videos, level=2)
-    for (batch,) in sorted(requests.select("batch_no").distinct().collect()):
-        forest.accept(requests.filter(F.col("batch_no") == batch).drop("batch_no"))
-    return forest.seen_before(requests.drop("batch_no")).select(F.col("key").alias("request_id"), F.col("first.media_id").alias("media_id"))
+    # the requests are read and made comparable once, then each batch comes from its own folder
+    arrived = scratch_path(spark, "requests")
+    requests.write.partitionBy("batch_no").parquet(arrived)
+    batches = [r["batch_no"] for r in requests.select("batch_no").distinct().collect()]
+    content = requests.drop("batch_no").schema
+    for batch in sorted(batches):
+        forest.accept(spark.read.schema(content).parquet(f"{arrived}/batch_no={batch}"))
+    everything = spark.read.schema(requests.schema).parquet(arrived).drop("batch_no") if batches else requests.drop("batch_no")
+    return forest.seen_before(everything).select(F.col("key").alias("request_id"), F.col("first.media_id").alias("media_id"))
 
 
 QUERIES = {"p3_found": p3_found}
