@@ -9,6 +9,7 @@ shuffled, and looks up only the media that are returned.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from kinomill.functions.numbers import rounded_score
 from kinomill.functions.text import preview_frame_index, preview_reference
 from kinomill.functions.vectors import cosine_to
+from kinomill.lineage import cut
 
 DEFAULT_LIMIT, MOST, SCENES_OF_A_MEDIA, DEFAULT_SCORE = 16, 100, 5, 0.3
 
@@ -85,6 +87,16 @@ def scene_documents(scenes: DataFrame, media: DataFrame, request: SearchRequest)
     return scenes.join(media, "media_id")
 
 
+def listing(documents: DataFrame, by: Sequence[str] = ("media_id", "start", "scene_id")) -> DataFrame:
+    """All rows in the order of ``by``, with ``place`` from 1. Ranges are sorted apart; a place is the row's place in its range and the rows of the ranges before."""
+    ordered = cut(documents.repartitionByRange(*by).sortWithinPartitions(*by))
+    at = F.spark_partition_id()
+    counts = {r["at"]: r["count"] for r in ordered.groupBy(at.alias("at")).count().collect()}  # one row for each range
+    before = list(itertools.accumulate((counts.get(i, 0) for i in range(ordered.rdd.getNumPartitions())), initial=0))
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("place", F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), at) + in_range + 1)
+
+
 def comparable(model: str, dimensions: int) -> Column:
     """Scenes whose vector can be compared: not of another known model, and of the query's length."""
     other = (F.col("embedding_model") != "") & F.lit(model != "") & (F.col("embedding_model") != model)

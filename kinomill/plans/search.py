@@ -94,11 +94,10 @@ def model_dim_guard_p07_p08(spark, folder):
 
 @plan("SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id)::INT AS place FROM embeddings QUALIFY place <= 100")
 def scan_sorted_p06_sl15(spark, folder):
-    """The first hundred of the listing by media and scene."""
-    from pyspark.sql import Window
-
-    first = _vectors(spark, folder).orderBy("media_id", "scene_id").limit(100)
-    return first.select(F.col("scene_id").alias("vec_id"), F.col("media_id").alias("label"), F.row_number().over(Window.orderBy("media_id", "scene_id")).alias("place"))
+    """The whole listing by media and scene. The SQL shows its first hundred places."""
+    scenes = _vectors(spark, folder).select("scene_id", "media_id")
+    found = search.scene_documents(scenes, scenes.select("media_id").distinct(), SearchRequest(()))
+    return search.listing(found, ["media_id", "scene_id"]).select(F.col("scene_id").alias("vec_id"), F.col("media_id").alias("label"), F.col("place").cast("int").alias("place"))
 
 
 @plan(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinomill import lineage
 from kinomill.operators import catalog, faces, index, intervals, search, tasks, timeline
 from kinomill.operators.search import SearchRequest
+from kinomill.plans.search import scan_sorted_p06_sl15
 
 SCENES = "scene_id string, media_id string, start double, embedding array<float>, embedding_model string, person_ids array<string>, preview string, preview_path string, preview_time double"
 MEDIA = "media_id string, type string, year int, language array<string>, metadata string"
@@ -62,6 +63,23 @@ def test_search_is_one_scan_without_a_join_of_the_query(spark):
     assert "TakeOrderedAndProject" in plan and "Join" not in plan and "Exchange" not in plan
 
 
+def test_listing_is_whole_and_in_order(spark):
+    rows = [(f"s{i:03d}", f"m{i * 7 % 5}", float(i * 31 % 97), [1.0], "m", ["p"] if i % 2 else [], "", "", 0.0) for i in range(300)]
+    media = [(f"m{i}", "movie" if i else "series", 2000, [], None) for i in range(4)]  # m4 is no known media
+    got = search.listing(documents(spark, rows, media, SearchRequest((), media_type="movie", person_id="p")))
+    right = sorted((r[1], r[2], r[0]) for r in rows if r[1] in ("m1", "m2", "m3") and r[5])
+    assert [(r["media_id"], r["start"], r["scene_id"], r["place"]) for r in got.collect()] == [(*r, i) for i, r in enumerate(right, 1)]
+    assert search.listing(documents(spark, [], media, SearchRequest(()))).count() == 0
+
+
+def test_the_listing_query_has_every_row(spark, tmp_path):
+    rows = [(i, i * 7 % 5, [1.0]) for i in range(1, 251)]
+    spark.createDataFrame(rows, "vec_id int, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = scan_sorted_p06_sl15(spark, str(tmp_path)).collect()
+    right = sorted((label, i) for i, label, _ in rows)
+    assert [tuple(r) for r in got] == [(i, label, n) for n, (label, i) in enumerate(right, 1)]
+
+
 def test_preview_times(spark):
     metadata = '{"frame_extraction_sources": [{"scene_index": 0, "sample_timestamp": 13.303}, {"scene_index": 1, "sample_timestamp": 44.662}, {"scene_index": 2}]}'
     rows = [scene("s0", "m", [1.0], (), "/frames/frame-000001.jpg"), scene("s1", "m", [1.0], (), "/frames/frame-000002.jpg"), scene("s2", "m", [1.0], (), "x.jpg")]
