@@ -94,7 +94,7 @@ def principals_scan_io07(spark, folder):
 
 @plan(rf"SELECT DISTINCT replace(f[3], '\N', '') AS name_id FROM {P6} WHERE len(f) >= 6 AND f[1] <> 'tconst' AND f[4] IN ('actor', 'actress') AND f[3] LIKE 'nm1%'")
 def names_scan_io08(spark, folder):
-    everyone = snapshots.principals(table(spark, folder, "raw_title_principals"), ("actor", "actress", "self", "writer", "director")).filter("name_id LIKE 'nm1%'").select("name_id").distinct()
+    everyone = snapshots.principals(table(spark, folder, "raw_title_principals"), ("actor", "actress", "self", "writer", "director")).select("name_id").distinct()
     line = F.concat_ws("\t", "name_id", F.concat(F.lit("Person "), "name_id"), F.lit("1980"), F.lit("\\N"), F.lit("actor"), F.lit("\\N"))
     people = snapshots.names(everyone.select(F.lit(0).alias("line_no"), line.alias("line")))
     wanted = snapshots.principals(table(spark, folder, "raw_title_principals")).select("name_id").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kinomill import lineage
 from kinomill.operators import catalog, faces, index, intervals, search, tasks, timeline
 from kinomill.operators.search import SearchRequest
+from kinomill.plans.catalog import names_scan_io08
 from kinomill.plans.search import scan_sorted_p06_sl15
 
 SCENES = "scene_id string, media_id string, start double, embedding array<float>, embedding_model string, person_ids array<string>, preview string, preview_path string, preview_time double"
@@ -110,6 +111,13 @@ def test_merging(spark):
     assert [r[0] for r in maps.select(catalog.merge_maps(F.col("o"), F.col("n"))).collect()] == [{"a": "1", "b": "2"}, None]
 
 
+def test_names_of_every_id_are_scanned(spark, tmp_path):
+    kinds = {"nm01": "actor", "nm12": "actress", "nm50": "actor", "xx9": "actress", "nm70": "writer", "nm13": "director"}
+    lines = [(i, f"tt{i}\t1\t{name}\t{kind}\t\\N\t\\N") for i, (name, kind) in enumerate(kinds.items())]
+    spark.createDataFrame(lines, "line_no int, line string").write.parquet(f"{tmp_path}/raw_title_principals.parquet")
+    assert {r["name_id"] for r in names_scan_io08(spark, str(tmp_path)).collect()} == {"nm01", "nm12", "nm50", "xx9"}
+
+
 def test_names_of_one_known_row_only(spark):
     known = spark.createDataFrame([("k1", "jaden"), ("k2", "will"), ("k3", "will")], "id string, name string")
     bare = spark.createDataFrame([("b1", "jaden"), ("b2", "will"), ("b3", "none")], "id string, name string")
