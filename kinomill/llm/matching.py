@@ -2,18 +2,24 @@
 
 Names of entries and records are brought into comparable forms, and each is laid under
 several composite sort keys: year or running time, followed by the name or by its most
-telling word, each forwards and backwards.  All keys are sorted together.  A window
-slides over the sorted rows: a record meets the :data:`WINDOW` entries on either side
-whose keys begin alike.  Pairs that met are compared by weighted similarities of name,
-year and running time, which give a confidence; years or running times that contradict
-rule a pair out.  Last, every record gets the entry of highest confidence.  That is the
+telling word, each forwards and backwards.  All keys are sorted together, and equal
+keys by the rest of the name.  A window slides over the sorted rows: the name of a
+record meets the :data:`WINDOW` different names of entries on either side whose keys
+begin alike, and wherever they stand those that are equal to it.  Entries of one name
+take one place in a window, however many they are.  Names that met are compared once.
+Of a name that is near enough, the entries are looked up by year and running time,
+exactly and without a window: each year and running time that the record allows is one
+key, and the entries that agree in all of that are represented by the smallest, which
+wins their tie.  Weighted similarities of name, year and running time give a
+confidence; years or running times that contradict rule a pair out.  Last, every record
+gets the entry of highest confidence.  That is the
 assignment of greatest total confidence in which a record has at most one entry and an
 entry any number of records: in this data an entry is described by several records, so
 an assignment that is one-to-one on both sides would lose true matches.
 
 Records that agree in all that is compared are matched once, however many they are.
 The window runs over range partitions; what lies around a partition's ends (at most
-:data:`WINDOW` entries each) is handed to its neighbours, so no window is cut.
+:data:`WINDOW` names each) is handed to its neighbours, so no window is cut.
 
 Defined cases:
 
@@ -45,14 +51,16 @@ from pyspark.sql import types as T
 from kinomill.lineage import cut
 
 WINDOW = 12
-#: Letters of the name in a sort key; bytes that two keys must share beyond year or running time, and where there is neither.
-KEY_LETTERS, ALIKE, ALIKE_ALONE = 16, 3, 5
+#: Letters of the name in a sort key, and behind it, where only the order counts; bytes that two keys must share beyond year or running time, and where there is neither.
+KEY_LETTERS, TAIL_LETTERS, ALIKE, ALIKE_ALONE = 16, 16, 3, 5
 NAME_WEIGHT, YEAR_WEIGHT, TIME_WEIGHT = 0.7, 0.15, 0.15
 #: Slips in a name that are put up with: one, one more for each of year and running time that agree, and never more than a share of its letters.
 SLIPS, SLIPS_SHARE = 1, 0.34
 YEARS_APART, SECONDS_APART = 1, 120
 #: Words in more than this share of names are not telling; at most so many are told to all tasks.
 COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 5e-4, 20, 2000
+#: In place of a year or running time: that of all entries, and that of entries without one.
+ANY, NONE = -(2**31), -(2**31) + 1
 
 #: What releases add to a name, words that carry little, letters that no decomposition takes apart, Roman numerals.
 TAGS = "480p 576p 720p 1080p 1440p 2160p 4320p 4k 8k uhd hd sd hdrip dvdrip bdrip brrip webrip web webdl bluray remux hdtv x264 x265 h264 h265 hevc avc av1 xvid remastered".split()
@@ -156,14 +164,16 @@ def _with_forms(df: DataFrame) -> DataFrame:
     return df.mapInArrow(forms, schema).filter("whole <> ''")
 
 
-def _key(kind: int, lead: Column, text: Column) -> Column:
-    return F.concat(F.lit(f"{kind:02d}"), lead, F.lit("|"), F.substring(text, 1, KEY_LETTERS))
+def _key(kind: int, lead: Column, text: Column, rest: Column) -> Column:
+    key = F.concat(F.lit(f"{kind:02d}"), lead, F.lit("|"), F.substring(text, 1, KEY_LETTERS))
+    return F.struct(key.alias("key"), F.substring(rest, 1, TAIL_LETTERS).alias("tail"))
 
 
 def _keys(leads: list[tuple[int, Column]]) -> Column:
-    """An array of sort keys: every lead with the name and with its most telling word, forwards and backwards."""
-    texts = [F.col("joined"), F.reverse("joined"), F.col("word"), F.reverse("word")]
-    return F.array(*(_key(4 * kind + i, lead, text) for kind, lead in leads for i, text in enumerate(texts)))
+    """An array of sort keys: every lead with the name and with its most telling word, forwards and backwards, and what orders equal keys."""
+    joined, word = F.col("joined"), F.col("word")
+    texts = [(t, F.substring(t, KEY_LETTERS + 1, TAIL_LETTERS)) for t in (joined, F.reverse(joined))] + [(word, joined), (F.reverse(word), F.reverse(joined))]
+    return F.array(*(_key(4 * kind + i, lead, text, rest) for kind, lead in leads for i, (text, rest) in enumerate(texts)))
 
 
 def _ready(df: DataFrame, common: list[str]) -> DataFrame:
@@ -178,9 +188,10 @@ def _lead(value: Column) -> Column:
 
 
 def _slide(rows: DataFrame) -> DataFrame:
-    """``(record, entry)``: pairs that meet in a window over ``rows`` of ``key``, ``kind`` (0 entry, 1 record) and ``id``."""
+    """``(record, entry)``: pairs that meet in a window over the different ``rows`` of ``key``, ``tail``, ``kind`` (0 entry, 1 record) and ``id``."""
     spark = rows.sparkSession
-    ordered = cut(rows.repartitionByRange("key", "kind", "id").sortWithinPartitions("key", "kind", "id"))
+    order = ["key", "tail", "kind", "id"]
+    ordered = cut(rows.select(*order).repartitionByRange(*order).distinct().sortWithinPartitions(*order).drop("tail"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: list[tuple] = []
@@ -192,24 +203,26 @@ def _slide(rows: DataFrame) -> DataFrame:
                 first += pairs(batch.slice(0, WINDOW - len(first)))
             last = (last + pairs(batch.slice(max(0, batch.num_rows - WINDOW))))[-WINDOW:]
         at = TaskContext.get().partitionId()
-        out = [(at, 0, k, i) for k, i in first] + [(at, 1, k, i) for k, i in last]
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.int64()))], names=["at", "end", "key", "id"])
+        out = [(at, end, n, k, i) for end, rows_of in enumerate((first, last)) for n, (k, i) in enumerate(rows_of)]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], names=["at", "end", "n", "key", "id"])
 
     first: dict[int, list] = {}
     last: dict[int, list] = {}
-    for r in ordered.mapInArrow(ends, "at int, end int, key string, id long").collect():  # at most 2 * WINDOW rows of a partition
-        (last if r["end"] else first).setdefault(r["at"], []).append((r["key"], r["id"]))
+    for r in ordered.mapInArrow(ends, "at int, end int, n int, key string, id long").collect():  # at most 2 * WINDOW rows of a partition
+        (last if r["end"] else first).setdefault(r["at"], []).append((r["n"], r["key"], r["id"]))
+    in_order = lambda found: [(k, i) for _, k, i in sorted(found)]
     parts = ordered.rdd.getNumPartitions()
     before: dict[int, list] = {}
     after: dict[int, list] = {}
     carried: list = []
     for p in range(parts):
         before[p] = carried
-        carried = (carried + sorted(last.get(p, [])))[-WINDOW:]
+        carried = (carried + in_order(last.get(p, [])))[-WINDOW:]
     carried = []
     for p in reversed(range(parts)):
         after[p] = carried
-        carried = (sorted(first.get(p, [])) + carried)[:WINDOW]
+        carried = (in_order(first.get(p, [])) + carried)[:WINDOW]
     around = spark.sparkContext.broadcast((before, after))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,53 +257,78 @@ def _slide(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(meet, "record long, entry long").distinct()
 
 
+def _names(df: DataFrame, id_name: str) -> DataFrame:
+    """Each different form of a name once."""
+    return df.dropDuplicates(["form"]).select(F.col("form").alias(id_name), "whole", "telling", "number")
+
+
+def _entries_by_time(entries: DataFrame) -> DataFrame:
+    """``(entry_form, at_year, at_minute, entry)``: the smallest entry of a name for each year, also :data:`ANY` and :data:`NONE`, with each running time."""
+    of = lambda name: F.explode(F.array(F.coalesce(name, F.lit(NONE)), F.lit(ANY)))
+    rows = entries.select(F.col("form").alias("entry_form"), "entry", "minutes", of("year").alias("at_year"))
+    return rows.withColumn("at_minute", of("minutes")).groupBy("entry_form", "at_year", "at_minute").agg(F.min("entry").alias("entry"))
+
+
 def match_records(entries: DataFrame, records: DataFrame) -> DataFrame:
     """``(key, entry, confidence)``: the entry that each record describes.
 
     ``entries`` has a row for each name of an entry: ``entry``, ``name``, ``year``, ``minutes``.
     ``records`` has ``key``, ``names`` (an array), ``year``, ``seconds``.
     """
+    form = F.xxhash64("whole", "telling", "number", "words")
     entries = entries.filter("name IS NOT NULL AND entry IS NOT NULL").groupBy("entry", "name").agg(F.min("year").alias("year"), F.min("minutes").alias("minutes"))
-    entries = cut(_with_forms(entries).withColumn("id", F.xxhash64("entry", "name")))
+    entries = cut(_with_forms(entries).withColumn("form", form))
     described = F.xxhash64("names", "year", "seconds")
     records = cut(records.filter("key IS NOT NULL").dropDuplicates(["key"]).withColumn("description", described))
     distinct = records.groupBy("description").agg(F.first("names").alias("names"), F.first("year").alias("year"), F.first("seconds").alias("seconds"))
     spoken = distinct.select("description", "year", "seconds", F.explode(F.array_distinct(F.filter("names", lambda n: n.isNotNull()))).alias("name"))
-    spoken = cut(_with_forms(spoken).withColumn("id", F.xxhash64("description", "name")))
+    spoken = cut(_with_forms(spoken).withColumn("form", form).withColumn("minute", F.floor(F.col("seconds") / 60).cast("int")))
 
     total = entries.count()
     often = entries.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().filter(F.col("count") >= max(COMMON_LEAST, total * COMMON_SHARE))
     common = [r["word"] for r in often.orderBy(F.desc("count"), "word").limit(COMMON_MOST).collect()]
 
-    left = _ready(entries, common).select("id", F.explode(_keys([(0, _lead(F.col("year"))), (1, _lead(F.col("minutes"))), (2, F.lit("none"))])).alias("key"))
-    year, minute = F.col("year"), F.floor(F.col("seconds") / 60).cast("int")
+    left = _ready(entries.select("form", "words", "year", "minutes").distinct(), common)
+    left = left.select(F.col("form").alias("id"), F.inline(_keys([(0, _lead(F.col("year"))), (1, _lead(F.col("minutes"))), (2, F.lit("none"))])))
+    year, minute = F.col("year"), F.col("minute")
     none = F.lit(None).cast("int")
     dated = _keys([(0, _lead(year + d)) for d in range(-YEARS_APART, YEARS_APART + 1)] + [(0, _lead(none))])
     timed = _keys([(1, _lead(minute + d)) for d in (-1, 0, 1, 2)] + [(1, _lead(none))])
     keys = F.when(year.isNotNull(), dated).when(minute.isNotNull(), timed).otherwise(_keys([(2, F.lit("none"))]))
-    right = _ready(spoken, common).select("id", F.explode(keys).alias("key"))
-    rows = left.select("key", F.lit(0).alias("kind"), "id").unionAll(right.select("key", F.lit(1).alias("kind"), "id"))
-    pairs = _slide(rows)
-
-    e = entries.select(F.col("id").alias("entry_id"), "entry", *(F.col(c).alias(f"e_{c}") for c in ("whole", "telling", "number", "year", "minutes")))
-    r = spoken.select(F.col("id").alias("record_id"), "description", "whole", "telling", "number", "year", "seconds")
-    met = pairs.select(F.col("record").alias("record_id"), F.col("entry").alias("entry_id")).join(e, "entry_id").join(r, "record_id")
+    led = spoken.select("form", "words", "year", F.when(year.isNull(), minute).alias("minute")).distinct()
+    right = _ready(led, common).select(F.col("form").alias("id"), F.inline(keys))
+    rows = left.withColumn("kind", F.lit(0)).unionByName(right.withColumn("kind", F.lit(1)))
+
+    e = _names(entries, "entry_form").withColumnsRenamed({c: f"e_{c}" for c in ("whole", "telling", "number")})
+    r = _names(spoken, "record_form")
+    pairs = _slide(rows).select(F.col("record").alias("record_form"), F.col("entry").alias("entry_form"))
+    for name in ("whole", "telling"):
+        same = r.join(e, (F.col(name) == F.col(f"e_{name}")) & (F.col("number") == F.col("e_number")))
+        pairs = pairs.unionAll(same.select("record_form", "entry_form"))
+    met = pairs.distinct().join(e, "entry_form").join(r, "record_form").filter(F.col("number") == F.col("e_number"))
 
-    apart = F.abs(F.col("year") - F.col("e_year"))
-    off = F.abs(F.col("seconds") - F.col("e_minutes") * 60)
-    met = met.filter((F.col("number") == F.col("e_number")) & (apart.isNull() | (apart <= YEARS_APART)) & (off.isNull() | (off < SECONDS_APART)))
     # far names go before any of them reaches Python
     most = 2 * (SLIPS + 2)
     met = met.filter((F.levenshtein(F.col("whole"), F.col("e_whole"), most) >= 0) | (F.levenshtein(F.col("telling"), F.col("e_telling"), most) >= 0))
     met = met.withColumn("slips", F.least(_slips(F.col("whole"), F.col("e_whole"), SLIPS + 2), _slips(F.col("telling"), F.col("e_telling"), SLIPS + 2)))
-    allowed = F.lit(SLIPS) + apart.isNotNull().cast("int") + off.isNotNull().cast("int")
     longer = F.greatest(F.length("telling"), F.length("e_telling"))
-    met = met.filter((F.col("slips") <= allowed) & (F.col("slips") <= SLIPS_SHARE * longer))
+    met = met.select("record_form", "entry_form", "slips", longer.alias("longer")).filter((F.col("slips") <= SLIPS + 2) & (F.col("slips") <= SLIPS_SHARE * F.col("longer")))
+
+    years = F.when(year.isNull(), F.array(F.lit(ANY))).otherwise(F.array(*(year + d for d in range(-YEARS_APART, YEARS_APART + 1)), F.lit(NONE)))
+    minutes = F.when(minute.isNull(), F.array(F.lit(ANY))).otherwise(F.array(*(minute + d for d in (-1, 0, 1, 2)), F.lit(NONE)))
+    asked = spoken.select(F.col("form").alias("record_form"), "description", "year", "seconds", "minute").join(met, "record_form")
+    asked = asked.withColumn("at_year", F.explode(years)).withColumn("at_minute", F.explode(minutes))
+    found = asked.join(_entries_by_time(entries), ["entry_form", "at_year", "at_minute"])
+
+    apart = F.when(F.col("at_year") > NONE, F.abs(F.col("year") - F.col("at_year")))
+    off = F.when(F.col("at_minute") > NONE, F.abs(F.col("seconds") - F.col("at_minute") * 60))
+    allowed = F.lit(SLIPS) + apart.isNotNull().cast("int") + off.isNotNull().cast("int")
+    found = found.filter((apart.isNull() | (apart <= YEARS_APART)) & (off.isNull() | (off < SECONDS_APART)) & (F.col("slips") <= allowed))
     confidence = (
-        NAME_WEIGHT * (1 - F.col("slips") / longer)
+        NAME_WEIGHT * (1 - F.col("slips") / F.col("longer"))
         + YEAR_WEIGHT * F.when(apart.isNull(), 0.6).otherwise(1 - 0.3 * apart)
         + TIME_WEIGHT * F.when(off.isNull(), 0.6).otherwise(1 - 0.2 * off / SECONDS_APART)
     )
-    scored = met.select("description", "entry", F.round(confidence, 6).alias("confidence"))
+    scored = found.select("description", "entry", F.round(confidence, 6).alias("confidence"))
     best = scored.groupBy("description").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "entry")).alias("best"))
     return records.join(best, "description").select("key", "best.entry", (-F.col("best.less")).alias("confidence"))

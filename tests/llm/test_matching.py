@@ -52,6 +52,41 @@ def test_windows_reach_over_partition_ends(spark, monkeypatch):
     assert sum(got.get(f"r{i}") == f"e{i}" for i in range(len(names))) > 0.98 * len(names)
 
 
+def by_brute_force(records, entries):
+    """The best entry of each record among all entries."""
+    best = {}
+    for key, names, year, seconds in records:
+        for name in names:
+            whole, telling, number, _ = name_forms(name)
+            for entry, other, e_year, minutes in entries:
+                e_whole, e_telling, e_number, _ = name_forms(other)
+                apart = None if year is None or e_year is None else abs(year - e_year)
+                off = None if seconds is None or minutes is None else abs(seconds - minutes * 60)
+                n = min(slips(whole, e_whole, 3), slips(telling, e_telling, 3))
+                longer = max(len(telling), len(e_telling))
+                if number != e_number or (apart or 0) > 1 or (off or 0) >= 120 or n > 1 + (apart is not None) + (off is not None) or n > 0.34 * longer:
+                    continue
+                sure = 0.7 * (1 - n / longer) + 0.15 * (0.6 if apart is None else 1 - 0.3 * apart) + 0.15 * (0.6 if off is None else 1 - 0.2 * off / 120)
+                best[key] = min(best.get(key, (0, "")), (-round(sure, 6), entry))
+    return {k: e for k, (_, e) in best.items()}
+
+
+def test_hot_titles_against_brute_force(spark):
+    rng = random.Random(7)
+    long = [f"Chronicle of the Long River {''.join(rng.choice('bdgkmnprst') + rng.choice('aeiou') for _ in range(3))}" for _ in range(60)]
+    entries = [(f"a{i:03d}", "Himosami", 1990, 40 + 4 * i) for i in range(60)]  # only the running time tells them apart
+    entries += [(f"b{i:03d}", "Raryvolo", None, 40 + 4 * i) for i in range(60)] + [(f"c{i:03d}", "Zoynador", 1900 + 2 * i, 90) for i in range(60)]
+    entries += [(f"d{i:03d}", n, 1970, 100) for i, n in enumerate(long)] + [(f"e{i:03d}", "HIMOSAMI!" + "!" * i, 1991, None) for i in range(30)]
+    records = []
+    for i in range(60):
+        records += [(f"a{i}", ["Himosami"], 1990, 60.0 * (40 + 4 * i)), (f"b{i}", ["Raryvolo"], 2000 if i % 2 else None, 60.0 * (40 + 4 * i)), (f"c{i}", ["Zoynador"], 1900 + 2 * i, None if i % 2 else 5400.0)]
+        records += [(f"d{i}", [long[i]], 1970, None), (f"n{i}", ["Himosmai"], 1990, 60.0 * (40 + 4 * i) + 20), (f"o{i}", ["Himosami"], None, 60.0 * (40 + 4 * i))]
+    records += [("p", ["Himosami"], 1990, None), ("q", ["Raryvolo"], None, None)]
+    right = by_brute_force(records, entries)
+    assert len(right) == len(records)
+    assert matched(spark, records, entries) == right
+
+
 def test_very_long_names(spark):
     assert matched(spark, [("a", ["x" * 5000], 2000, None), ("b", ["y " * 5000], None, None)], [("t", "x" * 5000, 2000, None)]) == {"a": "t"}
 
