@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,13 +102,14 @@ def resolved_ids(incoming: DataFrame, existing: DataFrame, keys: Sequence[str])
     return incoming.withColumn("canonical", F.coalesce(*found, "id")).drop(*(f"_c{i}" for i in range(len(keys))))
 
 
-def identity_map(rows: DataFrame, keys: Sequence[str], rounds: int = 40) -> DataFrame:
+def identity_map(rows: DataFrame, keys: Sequence[str], rounds: int | None = None) -> DataFrame:
     """``id`` and ``canonical``: rows that share a non-blank value of any key, directly or through others, get the smallest id.
 
     Every round passes the smallest id of each key on to all of its rows and on to the
     rows' own label holders; the rounds needed grow with the logarithm of the longest
     chain.  Keys are aggregated before they are joined, so a key in a third of all rows
-    costs one row of the aggregate for each partition.
+    costs one row of the aggregate for each partition.  Rounds go on until nothing moves;
+    if ``rounds`` is given and something still moves in the last, RuntimeError is raised.
     """
     pairs = None
     for i, key in enumerate(keys):
@@ -116,7 +118,7 @@ def identity_map(rows: DataFrame, keys: Sequence[str], rounds: int = 40) -> Data
         pairs = part if pairs is None else pairs.unionAll(part)
     pairs = cut(pairs.distinct())
     labels = rows.select("id", F.col("id").alias("label")).distinct()
-    for _ in range(rounds):
+    for done in itertools.count(1):
         by_key = pairs.join(labels, "id").groupBy("key").agg(F.min("label").alias("label"))
         best = pairs.join(by_key, "key").groupBy("id").agg(F.min("label").alias("best"))
         jump = labels.select(F.col("id").alias("best"), F.col("label").alias("far"))
@@ -125,6 +127,8 @@ def identity_map(rows: DataFrame, keys: Sequence[str], rounds: int = 40) -> Data
         labels = moved.select("id", F.col("new").alias("label"))
         if moved.filter("new <> old").isEmpty():
             break
+        if done == rounds:
+            raise RuntimeError(f"identities are not settled after {rounds} rounds")
     return labels.withColumnRenamed("label", "canonical")
 
 

@@ -102,6 +102,12 @@ def test_long_chains_of_identities(spark):
     assert {r["canonical"] for r in got.collect()} == {"p000"}
 
 
+def test_identities_that_are_not_settled_are_no_result(spark):
+    rows = spark.createDataFrame([(f"p{i:03d}", f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(60)], "id string, a string, b string")
+    with pytest.raises(RuntimeError, match="not settled"):
+        catalog.identity_map(rows, ["a", "b"], rounds=2)
+
+
 def test_merging(spark):
     old = spark.createDataFrame([(1, "a", 5, ["x"]), (2, "b", 6, [])], "id int, t string, n int, l array<string>")
     new = spark.createDataFrame([(1, " ", 0, ["y"]), (3, "c", 7, None)], "id int, t string, n int, l array<string>")
