@@ -1,7 +1,9 @@
 """Cutting lineage through storage that every executor can read.
 
-The cluster names its shared folder in ``spark.checkpoint.dir``.  Only where that
-setting is absent, as in tests, a temporary folder is made and set.
+The cluster names its shared folder in ``spark.checkpoint.dir``.  Only a session that
+runs in one process (``local[...]``, as in tests) may do without the setting: there a
+temporary folder is made and set.  Anywhere else its absence is an error, since a
+folder of one machine cannot be read by the executors of another.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one if the session has none."""
+    """The folder of ``spark.checkpoint.dir``; a new temporary one if a local session has none. Raises RuntimeError for a cluster without the setting."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = named or "file://" + tempfile.mkdtemp(prefix="kinomill-")
         sc.setCheckpointDir(named)
         current = sc._jsc.sc().getCheckpointDir()
