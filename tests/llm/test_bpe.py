@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -20,7 +21,8 @@ def reference():
 
 
 def encode(texts):
-    return bpe.Encoder(bpe.load_ranks(RANKS), {}).encode(texts)
+    replay = bpe.MergeReplay(bpe.load_ranks(RANKS))
+    return [[i for ids in replay.encode(w.encode() for w in bpe.split(t or "")) for i in ids] for t in texts]
 
 
 def test_texts_against_a_library():
@@ -56,13 +58,25 @@ def test_corpus(spark):
     assert out.count() == len(rows)
 
 
-def test_lexicon_is_bounded_and_changes_nothing(spark, monkeypatch):
-    df = spark.createDataFrame([(i, "a b c d e f g h " * 3) for i in range(20)], "doc_id int, text string")
-    monkeypatch.setattr(bpe, "LEXICON", 3)
-    lexicon = bpe.corpus_lexicon(df, RANKS)
-    assert len(lexicon) == 3
+def test_every_distinct_word_is_encoded_once(monkeypatch):
+    asked = []
+    encode_words = bpe.MergeReplay.encode
+    monkeypatch.setattr(bpe.MergeReplay, "encode", lambda self, words: encode_words(self, asked.extend(words := list(words)) or words))
+    monkeypatch.setattr(bpe, "REPLAY_WORDS", 7)
+    words = sorted(w for w in ["a", " b", " winter", "冬"] for _ in range(10))
+    rows = [pa.RecordBatch.from_pydict({"chunk": [i], "place": pa.array([0], pa.int32()), "word": [w]}) for i, w in enumerate(words)]
+    out = pa.Table.from_batches(list(bpe.replayed(iter(rows), RANKS))).to_pylist()
+    assert sorted(asked) == sorted({w.encode() for w in words})
+    enc = reference()
+    assert [r["ids"] for r in out] == [enc.encode_ordinary(w) for w in words]
+
+
+def test_many_chunks(spark):
+    rows = [(i, " ".join(f"word{j % 97}" for j in range(i, i + 60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert bpe.chunked(df, chars=900).select("chunk").distinct().count() > 10
     enc = reference()
-    assert all(r["ids"] == enc.encode_ordinary("a b c d e f g h " * 3) for r in bpe.encode_corpus(df, RANKS).collect())
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode_corpus(df, RANKS, chars=900).collect()} == {i: enc.encode_ordinary(t) for i, t in rows}
 
 
 def test_empty_table(spark):
