@@ -44,11 +44,11 @@ def _count(text: Column, char_class: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{char_class}]+", ""))
 
 
-def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the statistics of each text that is not blank."""
+def _measured(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and the statistics of each row whose text is not blank."""
     # every pattern below runs in linear time: it starts only where its first sign stands and stops at the next one
     t = F.col("text")
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.col("text").rlike(r"(?U)[^\s\p{Cf}]")).dropDuplicates(["key"])
+    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.col("text").rlike(r"(?U)[^\s\p{Cf}]"))
     rows = rows.select(
         "key",
         "text",
@@ -70,12 +70,13 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         (F.col("inked") / F.greatest(F.size(F.split(F.trim(t), r"(?U)\s+")), F.lit(1))).alias("chunk_length"),
         F.when(F.size("words") > 0, F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)) / F.size("words")).otherwise(0.0).alias("mean_word_length"),
         (F.size(F.filter("words", lambda w: w.isin(*dict.fromkeys(COMMON_WORDS)))) / F.greatest(F.size("words"), F.lit(1))).alias("common_words"),
-        (_count(t, COMMON_SIGNS) / F.greatest(han, F.lit(1))).alias("common_signs"),
+        # long lists of signs are slow as patterns, so they are looked for only where they can be
+        (F.when(han > 0, F.length(t) - F.length(F.translate(t, COMMON_SIGNS, ""))).otherwise(0) / F.greatest(han, F.lit(1))).alias("common_signs"),
         (han / F.col("inked")).alias("han"),
         (_count(t, r"\p{L}\p{M}") / F.col("inked")).alias("letters"),
         (_count(t, r"0-9") / F.col("inked")).alias("digits"),
         (_count(t, r"{}\[\]<>=|\\/#@$%^&*_~`+") / F.col("inked")).alias("symbols"),
-        (_count(t, r"\x{FFFD}\x{80}-\x{9F}\x{2500}-\x{25FF}\x{2190}-\x{21FF}\x{2200}-\x{22FF}¢£¥§¨©¬®¯°±¶¸¹º¼½¾ÂÃ") / F.col("inked")).alias("debris"),
+        (_count(F.regexp_replace(t, r"[\x00-\x7F]+", ""), r"\x{FFFD}\x{80}-\x{9F}\x{2500}-\x{25FF}\x{2190}-\x{21FF}\x{2200}-\x{22FF}¢£¥§¨©¬®¯°±¶¸¹º¼½¾ÂÃ") / F.col("inked")).alias("debris"),
         (F.regexp_count(t, F.lit(r"(?<=[\p{L}\"'”»’)*_])[.!?…]++[\"'”»)\]*_]*+(?=\s|$)|[。！？]")) / F.greatest(word_total, F.lit(1.0))).alias("sentence_ends"),
         lines(r"(?U)[.!?…。！？][\"'”»’)\]*_]*\s*\z").alias("ended_lines"),
         lines(r"(?U)\A\s*(?:[-*•→·▪◦+]\s|\d{1,3}[.)]\s|[a-z][.)]\s|\[[ xX]?\]|#\w)").alias("bulleted_lines"),
@@ -90,6 +91,12 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows
 
 
+def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and the statistics of each text that is not blank; of several texts of a key, the one of the smallest statistics."""
+    rows = _measured(df, key, text)
+    return rows.groupBy("key").agg(F.min(F.struct(*rows.columns[1:])).alias("s")).select("key", "s.*")
+
+
 def votes() -> list[tuple[str, tuple[str, ...], Column]]:
     """Name, types spoken for, and condition of each labelling function."""
     c = F.col
@@ -145,7 +152,8 @@ def classify(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     """``(key, type, confidence)`` for each text that is not blank."""
     spark = df.sparkSession
     code = sum((F.when(fires, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, fires) in enumerate(votes())), F.lit(0))
-    coded = cut(statistics(df, key, text).select("key", code.alias("code")))
+    # only keys and codes are shuffled, not texts
+    coded = cut(_measured(df, key, text).select("key", code.alias("code")).groupBy("key").agg(F.min("code").alias("code")))
     counts = {r["code"]: r["count"] for r in coded.groupBy("code").count().collect()}  # at most 2 ** len(votes())
     share, rate = learn(counts)
     codes = np.array(sorted(counts), np.int64)
