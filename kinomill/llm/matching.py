@@ -6,7 +6,10 @@ telling word, each forwards and backwards.  All keys are sorted together, and eq
 keys by the rest of the name.  A window slides over the sorted rows: the name of a
 record meets the :data:`WINDOW` different names of entries on either side whose keys
 begin alike, and wherever they stand those that are equal to it.  Entries of one name
-take one place in a window, however many they are.  Names that met are compared once.
+take one place in a window, however many they are.  What
+met is sieved at once by measures that travel with the sort keys (:func:`sieve`): number in
+a series, lengths, and which letters a name holds, which a few slips change by a few bits.
+Names that pass are compared once.
 Of a name that is near enough, the entries are looked up by year and running time,
 exactly and without a window: each year and running time that the record allows is one
 key, and the entries that agree in all of that are represented by the smallest, which
@@ -18,8 +21,9 @@ entry any number of records: in this data an entry is described by several recor
 an assignment that is one-to-one on both sides would lose true matches.
 
 Records that agree in all that is compared are matched once, however many they are.
-The window runs over range partitions; what lies around a partition's ends (at most
-:data:`WINDOW` names each) is handed to its neighbours, so no window is cut.
+The window runs over range partitions, of which a task holds :data:`SLIDE_ROWS` rows at a
+time; what lies around a partition's ends (at most :data:`WINDOW` names each) is handed to
+its neighbours, so no window is cut.
 
 Defined cases:
 
@@ -37,7 +41,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -57,8 +61,15 @@ NAME_WEIGHT, YEAR_WEIGHT, TIME_WEIGHT = 0.7, 0.15, 0.15
 #: Slips in a name that are put up with: one, one more for each of year and running time that agree, and never more than a share of its letters.
 SLIPS, SLIPS_SHARE = 1, 0.34
 YEARS_APART, SECONDS_APART = 1, 120
-#: Words in more than this share of names are not telling; at most so many are told to all tasks.
-COMMON_SHARE, COMMON_LEAST, COMMON_MOST = 5e-4, 20, 2000
+#: Words in more than this share of names are not telling. All of them are told to all tasks: they are at most the words of a name, on average, divided by the share.
+COMMON_SHARE, COMMON_LEAST = 5e-4, 20
+#: Rows that a window slides over at once.
+SLIDE_ROWS = 500_000
+#: What travels with a sort key for the sieve.
+BITS = ("whole_bits", "telling_bits")
+CARRIED = {"number": "int", "long": "int", "told": "int", "whole_bits": "long", "telling_bits": "long"}
+#: In a sort key, in place of a year or running time that is missing.
+NO_LEAD = "zzz"
 #: In place of a year or running time: that of all entries, and that of entries without one.
 ANY, NONE = -(2**31), -(2**31) + 1
 
@@ -105,35 +116,71 @@ def name_forms(text: str | None) -> tuple[str, str, int, list[str]]:
     return "".join(words), "".join(sorted(core)), number, core
 
 
-def slips(a: str, b: str, most: int) -> int:
-    """Letters to insert, delete, replace or swap with their neighbour to turn ``a`` into ``b``; ``most + 1`` if more than ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    wide = 2 * most + 1  # the table's band: place k of row i is column i + k - most
+def _letters(names: Sequence[str], width: int) -> np.ndarray:
+    return np.array(names, f"U{max(width, 1)}").view(np.uint32).reshape(len(names), -1)
+
+
+def slips(left: Sequence[str], right: Sequence[str], most: int) -> np.ndarray:
+    """For each pair, letters to insert, delete, replace or swap with their neighbour to turn one into the other; ``most + 1`` if more than ``most``.
+
+    All pairs go through a band of the table of distances together, letter by letter.
+    """
     over = most + 1
-    older = [over] * (wide + 2)
-    old = [k - most if most <= k <= most + len(b) else over for k in range(wide)] + [over, over]
-    for i, x in enumerate(a, 1):
-        new = [over] * (wide + 2)
-        for k in range(wide):
-            j = i + k - most
-            if j == 0:
-                new[k] = i
-            elif 0 < j <= len(b):
-                y = b[j - 1]
-                best = min(old[k] + (x != y), old[k + 1] + 1, new[k - 1] + 1 if k else over)
-                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                    best = min(best, older[k] + 1)
-                new[k] = min(best, over)
+    n, m = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
+    out = np.full(len(n), over, np.int64)
+    live = np.flatnonzero(np.abs(n - m) <= most)
+    if not len(live):
+        return out
+    left, right, n, m = [left[i] for i in live], [right[i] for i in live], n[live], m[live]
+    rows = np.arange(len(live))
+    a, b = _letters(left, int(n.max())), _letters(right, int(m.max()))
+    wide = 2 * most + 1  # place k of row i is column i + k - most
+    b = np.pad(b, ((0, 0), (over, a.shape[1] + over)))  # letter j of the right name, from 1, is at j + most
+    columns = np.arange(wide) - most
+    older = np.full((len(live), wide + 1), over)
+    old = np.full((len(live), wide + 1), over)
+    old[:, most:wide] = np.arange(wide - most)
+    old[:, :wide][columns > m[:, None]] = over
+    result = np.where(n == 0, np.minimum(m, over), over)
+    for i in range(1, a.shape[1] + 1):
+        x = a[:, i - 1, None]
+        here, before = b[:, i : i + wide], b[:, i - 1 : i - 1 + wide]
+        new = np.full((len(live), wide + 1), over)
+        inside = (columns + i > 0) & (columns + i <= m[:, None])
+        best = np.minimum(old[:, :wide] + (here != x), old[:, 1:] + 1)
+        if i > 1:
+            swapped = (x == before) & (a[:, i - 2, None] == here) & (columns + i > 1)
+            best = np.where(swapped, np.minimum(best, older[:, :wide] + 1), best)
+        best = np.where(inside, np.minimum(best, over), over)
+        if i <= most:
+            best[:, most - i] = i  # column 0
+        for k in range(1, wide):
+            best[:, k] = np.where(inside[:, k], np.minimum(best[:, k], best[:, k - 1] + 1), best[:, k])
+        new[:, :wide] = best
         older, old = old, new
-    return min(old[len(b) - len(a) + most], over)
+        ended = n == i
+        result[ended] = np.minimum(best[rows[ended], (m - n)[ended] + most], over)
+    out[live] = result
+    return out
 
 
 def _slips(a: Column, b: Column, most: int) -> Column:
     """:func:`slips` of two columns; the plain edit distance decides all but what could be a swap."""
 
     def count(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else slips(x, y, most) for x, y in zip(left, right, strict=True)], dtype="Int32")
+        out = np.full(len(left), np.nan)
+        asked = np.flatnonzero(left.notna())
+        one, other = left.iloc[asked].tolist(), right.iloc[asked].tolist()
+        by_length = sorted(range(len(asked)), key=lambda i: len(one[i]))  # so that few are padded by much
+        start = 0
+        while start < len(asked):
+            stop = start + 1
+            while stop < min(len(asked), start + 2000) and (stop - start) * len(one[by_length[stop]]) < 1_000_000:
+                stop += 1
+            part = by_length[start:stop]
+            out[asked[part]] = slips([one[i] for i in part], [other[i] for i in part], most)
+            start = stop
+        return pd.Series(out).astype("Int32")
 
     plain_distance = F.levenshtein(a, b, 2 * most)
     swapped = plain_distance >= 2
@@ -141,6 +188,28 @@ def _slips(a: Column, b: Column, most: int) -> Column:
     return F.when(plain_distance < 0, most + 1).when(swapped, counted).otherwise(plain_distance)
 
 
+def letter_bits(name: str) -> int:
+    """64 bits, two for each of 32 classes of letters: whether it is there, and whether it is there again. A slip changes at most two."""
+    once = twice = 0
+    for c in name:
+        bit = 1 << (ord(c) & 31)
+        twice |= once & bit
+        once |= bit
+    bits = once | twice << 32
+    return bits - 2**64 if bits >= 2**63 else bits
+
+
+def sieve(a: dict[str, np.ndarray], b: dict[str, np.ndarray], most: int) -> np.ndarray:
+    """Which pairs of names could be within ``most`` slips, and within the share of their letters that is put up with; it drops no pair that is."""
+    longer = np.maximum(a["told"], b["told"])
+    slips_allowed = np.minimum(most, np.floor(SLIPS_SHARE * longer)).astype(np.int64)
+    ok = np.zeros(len(longer), bool)
+    for length, bits in (("long", "whole_bits"), ("told", "telling_bits")):
+        near = np.abs(a[length].astype(np.int64) - b[length]) <= slips_allowed
+        ok |= near & (np.bitwise_count(a[bits].view(np.uint64) ^ b[bits].view(np.uint64)) <= 2 * slips_allowed)
+    return ok & (a["number"] == b["number"])
+
+
 def file_title(name: str | None) -> str | None:
     """What a file name says of the title: without extension, a year in front, and all from a year or brackets on."""
     if not name:
@@ -151,21 +220,21 @@ def file_title(name: str | None) -> str | None:
 
 
 def _with_forms(df: DataFrame) -> DataFrame:
-    """Adds ``whole``, ``telling``, ``number`` and ``words`` to rows with ``name``."""
+    """Adds ``whole``, ``telling``, ``number``, ``words`` and the letters that ``whole`` and ``telling`` hold to rows with ``name``."""
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int64()]
         for batch in batches:
-            found = [name_forms(n) for n in batch.column("name").to_pylist()]
+            found = [(*f, letter_bits(f[0]), letter_bits(f[1])) for f in map(name_forms, batch.column("name").to_pylist())]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "whole", "telling", "number", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "whole", "telling", "number", "words", *BITS])
 
-    schema = ", ".join([*(f"`{n}` {k}" for n, k in df.dtypes), "whole string, telling string, number int, words array<string>"])
+    schema = ", ".join([*(f"`{n}` {k}" for n, k in df.dtypes), "whole string, telling string, number int, words array<string>, whole_bits long, telling_bits long"])
     return df.mapInArrow(forms, schema).filter("whole <> ''")
 
 
 def _key(kind: int, lead: Column, text: Column, rest: Column) -> Column:
-    key = F.concat(F.lit(f"{kind:02d}"), lead, F.lit("|"), F.substring(text, 1, KEY_LETTERS))
+    key = F.concat(F.lit(chr(ord("A") + kind)), lead, F.substring(text, 1, KEY_LETTERS))
     return F.struct(key.alias("key"), F.substring(rest, 1, TAIL_LETTERS).alias("tail"))
 
 
@@ -184,34 +253,95 @@ def _ready(df: DataFrame, common: list[str]) -> DataFrame:
 
 
 def _lead(value: Column) -> Column:
-    return F.coalesce(F.lpad(value.cast("string"), 4, "0"), F.lit("none"))
+    """Three signs, so that the eight bytes that a sort compares first reach into the name."""
+    return F.coalesce(F.lpad(F.conv(value.cast("string"), 10, 36), 3, "0"), F.lit(NO_LEAD))
+
+
+#: Bytes of a sort key before the name, and of all of it at most.
+LEAD_BYTES = 4
+KEY_BYTES = LEAD_BYTES + 4 * KEY_LETTERS
+
+
+class Slide:
+    """A window that slides over sorted rows, some at a time; each column is an array."""
+
+    def __init__(self, rows_at_once: int) -> None:
+        self.rows_at_once = rows_at_once
+        self.waiting: list[dict[str, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, rows: dict[str, np.ndarray]) -> None:
+        self.waiting.append(rows)
+        self.size += len(rows["id"])
+
+    def full(self) -> bool:
+        return self.size >= self.rows_at_once
+
+    def pairs(self, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(records, entries) that meet among what was added; what may still meet later rows is kept unless these are the ``last``."""
+        rows = {name: np.concatenate([w[name] for w in self.waiting]) for name in self.waiting[0]}
+        entries, records = np.flatnonzero(rows["kind"] == 0), np.flatnonzero(rows["kind"] == 1)
+        place = np.searchsorted(entries, records)
+        self.waiting, self.size = [], 0
+        if not last:  # a record whose window reaches beyond the last entry waits, with the entries before it
+            ready = int(np.searchsorted(place, len(entries) - WINDOW, "right"))
+            first = int(place[ready]) if ready < len(place) else len(entries)
+            start = int(entries[max(0, first - WINDOW)]) if len(entries) else 0
+            keep = np.arange(len(rows["id"])) >= start
+            keep[records[:ready]] = False
+            keep[records[ready:]] = True
+            self.add({name: column[keep] for name, column in rows.items()})
+            records, place = records[:ready], place[:ready]
+        letters = rows["key"].view(np.uint8).reshape(-1, KEY_BYTES)
+        undated = rows["key"].astype(f"S{LEAD_BYTES}").view(np.uint8).reshape(-1, LEAD_BYTES)[:, -1] == ord(NO_LEAD[-1])
+        for offset in range(-WINDOW, WINDOW):
+            to = place + offset
+            ok = np.flatnonzero((to >= 0) & (to < len(entries)))
+            for part in np.array_split(ok, max(1, len(ok) // 100_000)):
+                own, other = records[part], entries[to[part]]
+                near = sieve({c: rows[c][own] for c in CARRIED}, {c: rows[c][other] for c in CARRIED}, SLIPS + 2)
+                own, other = own[near], other[near]
+                need = LEAD_BYTES + np.where(undated[own], ALIKE_ALONE, ALIKE)
+                a, b = letters[own], letters[other]
+                same = np.minimum.accumulate((a == b) & (a > 0), axis=1).sum(1)
+                # words shorter than the required start must be equal
+                alike = (same >= need) | ((a == b).all(1))
+                if alike.any():
+                    yield rows["id"][own[alike]], rows["id"][other[alike]]
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table) -> dict[str, np.ndarray]:
+    keys = np.array([k.encode() for k in batch.column("key").to_pylist()], f"S{KEY_BYTES}")
+    return {"key": keys} | {name: batch.column(name).to_numpy() for name in ("kind", "id", *CARRIED)}
 
 
 def _slide(rows: DataFrame) -> DataFrame:
-    """``(record, entry)``: pairs that meet in a window over the different ``rows`` of ``key``, ``tail``, ``kind`` (0 entry, 1 record) and ``id``."""
+    """``(record, entry)``: pairs that meet in a window over the different ``rows`` of ``key``, ``tail``, ``kind`` (0 entry, 1 record), ``id`` and what is carried."""
     spark = rows.sparkSession
     order = ["key", "tail", "kind", "id"]
-    ordered = cut(rows.select(*order).repartitionByRange(*order).distinct().sortWithinPartitions(*order).drop("tail"))
+    ordered = cut(rows.select(*order, *CARRIED).repartitionByRange(*order).distinct().sortWithinPartitions(*order).drop("tail"))
+    fields = dict(ordered.dtypes)
+    edge_schema = ", ".join(["at int", "end int", "n int", *(f"{name} {kind}" for name, kind in fields.items())])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: list[tuple] = []
-        last: list[tuple] = []
+        first: list[dict] = []
+        last: list[dict] = []
         for batch in batches:
             batch = batch.filter(pa.compute.equal(batch.column("kind"), 0))
-            pairs = lambda b: list(zip(b.column("key").to_pylist(), b.column("id").to_pylist(), strict=True))
             if len(first) < WINDOW:
-                first += pairs(batch.slice(0, WINDOW - len(first)))
-            last = (last + pairs(batch.slice(max(0, batch.num_rows - WINDOW))))[-WINDOW:]
+                first += batch.slice(0, WINDOW - len(first)).to_pylist()
+            last = (last + batch.slice(max(0, batch.num_rows - WINDOW)).to_pylist())[-WINDOW:]
+            schema = batch.schema
         at = TaskContext.get().partitionId()
-        out = [(at, end, n, k, i) for end, rows_of in enumerate((first, last)) for n, (k, i) in enumerate(rows_of)]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], names=["at", "end", "n", "key", "id"])
+        out = [{"at": at, "end": end, "n": n, **row} for end, of_end in enumerate((first, last)) for n, row in enumerate(of_end)]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, pa.schema([*((name, pa.int32()) for name in ("at", "end", "n")), *schema]))
 
     first: dict[int, list] = {}
     last: dict[int, list] = {}
-    for r in ordered.mapInArrow(ends, "at int, end int, n int, key string, id long").collect():  # at most 2 * WINDOW rows of a partition
-        (last if r["end"] else first).setdefault(r["at"], []).append((r["n"], r["key"], r["id"]))
-    in_order = lambda found: [(k, i) for _, k, i in sorted(found)]
+    for r in ordered.mapInArrow(ends, edge_schema).collect():  # at most 2 * WINDOW rows of a partition
+        (last if r["end"] else first).setdefault(r["at"], []).append((r["n"], {name: r[name] for name in fields}))
+    in_order = lambda found: [row for _, row in sorted(found, key=lambda x: x[0])]
     parts = ordered.rdd.getNumPartitions()
     before: dict[int, list] = {}
     after: dict[int, list] = {}
@@ -223,36 +353,26 @@ def _slide(rows: DataFrame) -> DataFrame:
     for p in reversed(range(parts)):
         after[p] = carried
         carried = (in_order(first.get(p, [])) + carried)[:WINDOW]
-    around = spark.sparkContext.broadcast((before, after))
+    around = spark.sparkContext.broadcast((before, after))  # at most 2 * WINDOW rows of a partition
+    at_once = SLIDE_ROWS
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId()
-        head, tail = around.value[0][at], around.value[1][at]
-        width = 7 + 4 * KEY_LETTERS
-        fixed = lambda keys: np.array([k.encode() for k in keys], f"S{width}")
-        keys, kinds, ids = [fixed(k for k, _ in head)], [np.zeros(len(head), np.int8)], [np.array([i for _, i in head], np.int64)]
+        head, tail = (rows[at] for rows in around.value)
+        slide = Slide(at_once)
+        pairs = lambda last: (pa.RecordBatch.from_arrays([pa.array(r), pa.array(e)], names=["record", "entry"]) for r, e in slide.pairs(last))
+        schema = None
         for batch in batches:
-            keys.append(fixed(batch.column("key").to_pylist()))
-            kinds.append(batch.column("kind").to_numpy().astype(np.int8))
-            ids.append(batch.column("id").to_numpy())
-        keys.append(fixed(k for k, _ in tail))
-        kinds.append(np.zeros(len(tail), np.int8))
-        ids.append(np.array([i for _, i in tail], np.int64))
-        key, kind, number = np.concatenate(keys), np.concatenate(kinds), np.concatenate(ids)
-        entries, records = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
-        place = np.searchsorted(entries, records)
-        letters = key.view(np.uint8).reshape(len(key), width)
-        need = np.where(letters[records, 2:6].view("S4").ravel() == b"none", 7 + ALIKE_ALONE, 7 + ALIKE) if len(records) else np.zeros(0, int)
-        for offset in range(-WINDOW, WINDOW):
-            to = place + offset
-            ok = np.flatnonzero((to >= 0) & (to < len(entries)))
-            for part in np.array_split(ok, max(1, len(ok) // 100_000)):
-                own, other = letters[records[part]], letters[entries[to[part]]]
-                same = np.minimum.accumulate((own == other) & (own > 0), axis=1).sum(1)
-                # words shorter than the required start must be equal
-                alike = (same >= need[part]) | ((own == other).all(1))
-                if alike.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(number[records[part[alike]]]), pa.array(number[entries[to[part[alike]]]])], names=["record", "entry"])
+            if schema is None and head:
+                slide.add(_arrays(pa.RecordBatch.from_pylist(head, batch.schema)))
+            schema = batch.schema
+            slide.add(_arrays(batch))
+            if slide.full():
+                yield from pairs(False)
+        if schema is not None:
+            if tail:
+                slide.add(_arrays(pa.RecordBatch.from_pylist(tail, schema)))
+            yield from pairs(True)
 
     return ordered.mapInArrow(meet, "record long, entry long").distinct()
 
@@ -286,17 +406,18 @@ def match_records(entries: DataFrame, records: DataFrame) -> DataFrame:
 
     total = entries.count()
     often = entries.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").count().filter(F.col("count") >= max(COMMON_LEAST, total * COMMON_SHARE))
-    common = [r["word"] for r in often.orderBy(F.desc("count"), "word").limit(COMMON_MOST).collect()]
+    common = [r["word"] for r in often.orderBy("word").collect()]
 
-    left = _ready(entries.select("form", "words", "year", "minutes").distinct(), common)
-    left = left.select(F.col("form").alias("id"), F.inline(_keys([(0, _lead(F.col("year"))), (1, _lead(F.col("minutes"))), (2, F.lit("none"))])))
+    carried = [F.col("number"), F.length("whole").alias("long"), F.length("telling").alias("told"), F.col("whole_bits"), F.col("telling_bits")]
+    left = _ready(entries.select("form", "words", "year", "minutes", *carried).distinct(), common)
+    left = left.select(F.col("form").alias("id"), *CARRIED, F.inline(_keys([(0, _lead(F.col("year"))), (1, _lead(F.col("minutes"))), (2, F.lit(NO_LEAD))])))
     year, minute = F.col("year"), F.col("minute")
     none = F.lit(None).cast("int")
     dated = _keys([(0, _lead(year + d)) for d in range(-YEARS_APART, YEARS_APART + 1)] + [(0, _lead(none))])
     timed = _keys([(1, _lead(minute + d)) for d in (-1, 0, 1, 2)] + [(1, _lead(none))])
-    keys = F.when(year.isNotNull(), dated).when(minute.isNotNull(), timed).otherwise(_keys([(2, F.lit("none"))]))
-    led = spoken.select("form", "words", "year", F.when(year.isNull(), minute).alias("minute")).distinct()
-    right = _ready(led, common).select(F.col("form").alias("id"), F.inline(keys))
+    keys = F.when(year.isNotNull(), dated).when(minute.isNotNull(), timed).otherwise(_keys([(2, F.lit(NO_LEAD))]))
+    led = spoken.select("form", "words", "year", F.when(year.isNull(), minute).alias("minute"), *carried).distinct()
+    right = _ready(led, common).select(F.col("form").alias("id"), *CARRIED, F.inline(keys))
     rows = left.withColumn("kind", F.lit(0)).unionByName(right.withColumn("kind", F.lit(1)))
 
     e = _names(entries, "entry_form").withColumnsRenamed({c: f"e_{c}" for c in ("whole", "telling", "number")})

@@ -1,9 +1,8 @@
 import random
 
-from pyspark.sql import functions as F
+import numpy as np
 
-from kinomill.llm import matching
-from kinomill.llm.matching import file_title, match_records, name_forms, slips
+from kinomill.llm.matching import KEY_BYTES, Slide, file_title, letter_bits, match_records, name_forms, sieve, slips
 
 ENTRIES = [
     ("t1", "Return to Raryvolo", 1982, 152), ("t2", "Return to Raryvolo 2", 1987, None), ("t3", "Return to Raryvolo: Part III", 1989, 171), ("t4", "The Silent Orchard of Zaluhysk", 2017, 94), ("t5", "Himosami", 1990, 80),
@@ -55,6 +54,9 @@ def test_windows_reach_over_partition_ends(spark, monkeypatch):
 def by_brute_force(records, entries):
     """The best entry of each record among all entries."""
     best = {}
+    forms = lambda names: {f for n in names for f in name_forms(n)[:2]}
+    pairs = [(a, b) for a in forms(n for r in records for n in r[1]) for b in forms(e[1] for e in entries)]
+    apart_by = dict(zip(pairs, slips([a for a, _ in pairs], [b for _, b in pairs], 3).tolist()))
     for key, names, year, seconds in records:
         for name in names:
             whole, telling, number, _ = name_forms(name)
@@ -62,7 +64,7 @@ def by_brute_force(records, entries):
                 e_whole, e_telling, e_number, _ = name_forms(other)
                 apart = None if year is None or e_year is None else abs(year - e_year)
                 off = None if seconds is None or minutes is None else abs(seconds - minutes * 60)
-                n = min(slips(whole, e_whole, 3), slips(telling, e_telling, 3))
+                n = min(apart_by[whole, e_whole], apart_by[telling, e_telling])
                 longer = max(len(telling), len(e_telling))
                 if number != e_number or (apart or 0) > 1 or (off or 0) >= 120 or n > 1 + (apart is not None) + (off is not None) or n > 0.34 * longer:
                     continue
@@ -111,6 +113,45 @@ def test_slips_against_a_plain_table():
         return d[len(a), len(b)]
 
     rng = random.Random(0)
-    for _ in range(3000):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
-        assert slips(a, b, 3) == min(plain(a, b), 4)
+    pairs = [["".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2)] for _ in range(3000)]
+    assert slips([a for a, _ in pairs], [b for _, b in pairs], 3).tolist() == [min(plain(a, b), 4) for a, b in pairs]
+
+
+def measures(names):
+    return {
+        "number": np.ones(len(names), int), "long": np.array(list(map(len, names))), "told": np.array(list(map(len, names))),
+        "whole_bits": np.array(list(map(letter_bits, names))), "telling_bits": np.array(list(map(letter_bits, names))),
+    }
+
+
+def test_the_sieve_drops_no_pair_within_the_slips():
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(4000):
+        a = "".join(rng.choice("abcdéz冬") for _ in range(rng.randint(1, 14)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "冬"])
+        pairs.append((a, "".join(b) or "a"))
+    n = slips([a for a, _ in pairs], [b for _, b in pairs], 3)
+    longer = np.array([max(len(a), len(b)) for a, b in pairs])
+    passed = sieve(measures([a for a, _ in pairs]), measures([b for _, b in pairs]), 3)
+    assert passed[(n <= 3) & (n <= 0.34 * longer)].all() and not passed.all()
+
+
+def test_a_window_in_parts_meets_what_a_whole_one_meets():
+    rng = random.Random(4)
+    names = sorted("".join(rng.choice("ab") for _ in range(10)) for _ in range(600))
+    kinds = np.array([rng.random() < 0.6 for _ in names], int)
+    rows = measures(names) | {"key": np.array([b"A1JK" + n.encode() for n in names], f"S{KEY_BYTES}"), "kind": kinds, "id": np.arange(600)}
+
+    def met(size):
+        slide, found = Slide(size), set()
+        for start in range(0, 600, 7):
+            slide.add({k: v[start : start + 7] for k, v in rows.items()})
+            if slide.full():
+                found |= {p for r, e in slide.pairs(False) for p in zip(r.tolist(), e.tolist())}
+        return found | {p for r, e in slide.pairs(True) for p in zip(r.tolist(), e.tolist())}
+
+    assert met(50) == met(10**6) != set()
