@@ -39,8 +39,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system of ``path``, and the path as it names it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Deletes ``path`` and what is below it; nothing happens if it is absent."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in the folder ``path``, none if it is absent."""
+    files, target = _file_system(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(target)] if files.exists(target) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: it is written under another name and moved."""
+    files, target = _file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part-{uuid.uuid4().hex}")
+    out = files.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(part, target):
+        raise OSError(f"could not move a file to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text
