@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinomill.lineage import scratch_path
+from kinomill.lineage import list_path, remove_path, scratch_path
 from kinomill.llm.forest import HashForest, canonical
+from kinomill.plans.registry import SPACE, sql_trim
 from kinomill.tables import table
 
 
@@ -33,13 +34,29 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     # the requests are read and made comparable once, then each batch comes from its own folder
     arrived = scratch_path(spark, "requests")
     requests.write.partitionBy("batch_no").parquet(arrived)
-    batches = [r["batch_no"] for r in requests.select("batch_no").distinct().collect()]
     content = requests.drop("batch_no").schema
-    for batch in sorted(batches):
+    for batch in sorted(int(name.rpartition("=")[2]) for name in list_path(spark, arrived) if name.startswith("batch_no=")):
         forest.accept(spark.read.schema(content).parquet(f"{arrived}/batch_no={batch}"))
-    everything = spark.read.schema(requests.schema).parquet(arrived).drop("batch_no") if batches else requests.drop("batch_no")
-    return forest.seen_before(everything).select(F.col("key").alias("request_id"), F.col("first.media_id").alias("media_id"))
+    remove_path(spark, arrived)
+    return forest.seen_before(requests.drop("batch_no")).select(F.col("key").alias("request_id"), F.col("first.media_id").alias("media_id"))
 
 
+#: The digits of a fingerprint in SQL, or its remote id; white space by Unicode, as in the operator.
+_TEXT = f"lower({sql_trim('f')})"
+_PLAIN = f"regexp_replace({_TEXT}, '[{SPACE}:._-]', '', 'g')"
+_UNTAGGED = f"regexp_replace(regexp_replace({_TEXT}, '^([a-z][a-z0-9]*[{SPACE}]*[:=][{SPACE}]*)?(0x)?', ''), '[{SPACE}:._-]', '', 'g')"
+_CONTENT = f"CASE WHEN starts_with({_TEXT}, 'remote:') THEN {_TEXT} WHEN regexp_full_match({_PLAIN}, '[0-9a-f]{{64}}') THEN {_PLAIN} WHEN regexp_full_match({_UNTAGGED}, '[0-9a-f]{{64}}') THEN {_UNTAGGED} END"
+_APART = " + ".join(f"CAST(bit_count(xor(a.w{i}, b.w{i})) AS INTEGER)" for i in range(4))
+
 QUERIES = {"p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p3_found": f"""
+        WITH coming AS (
+            SELECT DISTINCT 0 AS source, 0 AS batch, CAST(0 AS BIGINT) AS request, media_id AS video, media_id, fingerprint AS f FROM videos
+            UNION ALL SELECT DISTINCT 1, batch_no, request_id, '', media_id, source_fingerprint FROM requests),
+        read AS (SELECT *, {_CONTENT} AS content FROM coming),
+        placed AS (SELECT *, row_number() OVER (ORDER BY source, batch, request, video) AS n FROM read WHERE content IS NOT NULL),
+        cut AS (SELECT *, {", ".join(f"CASE WHEN NOT starts_with(content, 'remote:') THEN CAST('0x' || substr(content, {1 + 16 * i}, 16) AS UBIGINT) END AS w{i}" for i in range(4))} FROM placed)
+        SELECT b.request AS request_id, arg_min(a.media_id, a.n) AS media_id FROM cut a JOIN cut b ON a.n < b.n AND (a.content = b.content OR {_APART} <= 12)
+        WHERE b.source = 1 GROUP BY b.request""",
+}

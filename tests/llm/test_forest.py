@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from kinomill.llm import forest as forest_module
-from kinomill.llm.forest import HashForest, canonical, estimated_recall, prefix_widths
+from kinomill.lineage import list_path
+from kinomill.llm.forest import HashForest, canonical, estimated_recall, prefix_widths, ranges_of
 
 
 def hex_of(n):
@@ -99,3 +100,47 @@ def test_prefixes_widen_until_the_target():
     assert estimated_recall(4) == 1.0
     assert all(estimated_recall(w) >= estimated_recall(w + 1) for w in range(4, 16))
     assert min(prefix_widths(0.9)) >= 4 and estimated_recall(min(prefix_widths(0.9))) >= 0.9
+
+
+def test_a_forest_is_opened_again(spark):
+    batches = random_batches(random.Random(8), batches=5, size=40)
+    _, forest = run(spark, batches[:3])
+    again = HashForest.open(spark, forest.path)
+    assert again.runs == forest.runs
+    for batch in batches[3:]:
+        again.accept(frame(spark, batch))
+    # nothing but runs and one manifest is left in the folder
+    stored = {name for r in again.runs for name in (r["entries"], r["rest"], r["ledger"]) if name}
+    left = set(list_path(spark, forest.path))
+    assert {n for n in left if not n.startswith("manifest-")} == stored and len(left) == len(stored) + 1
+    everything = frame(spark, [r for b in batches for r in b])
+    assert {r["key"]: r["first"]["key"] for r in HashForest.open(spark, forest.path).seen_before(everything).collect()} == brute(batches)
+    assert HashForest.open(spark, forest.path + "-absent").runs == []
+
+
+def test_a_small_batch_reads_only_its_ranges(spark):
+    rng = random.Random(9)
+    history = [(i, hex_of(rng.getrandbits(256)), 1) for i in range(6000)]
+    forest = HashForest(spark)
+    forest.accept(frame(spark, history))
+    near = hex_of(flipped(rng, int(history[5][1], 16), 12))
+    asked = []
+    sparse = forest._sparse
+    forest._sparse = lambda stored, *args: asked.append((stored, found := sparse(stored, *args))) or found
+    forest.accept(frame(spark, [(7000, near, 1)]))
+    whole, part = next((a, b) for a, b in asked if "at" in a.columns)
+
+    def rows_read(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+        scans = plan.collectLeaves()
+        return sum(scans.apply(i).metrics().apply("numOutputRows").value() for i in range(scans.size()))
+
+    assert rows_read(part.select("at")) < 0.6 * rows_read(whole.select("at"))
+    assert {r["key"]: r["first"]["key"] for r in forest.seen_before(frame(spark, [(7000, near, 1)])).collect()} == {7000: 5}
+
+
+def test_ranges():
+    assert ranges_of([]) == [] and ranges_of([4]) == [(4, 4)]
+    assert ranges_of([1, 2, 3, 50, 51, 90], 3) == [(1, 3), (50, 51), (90, 90)]
