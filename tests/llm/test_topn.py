@@ -49,3 +49,17 @@ def test_empty_table_and_clashing_columns(spark):
 def test_only_null_scores_and_long_items(spark):
     long = "x" * 200_000
     assert got(spark, [("a", "x", None), ("b", long, 1.0)], 2) == {("b", long, 1)}
+
+
+def test_clogged_groups_and_keys_of_several_types(spark):
+    rng = random.Random(3)
+    # one item of a group with many scores hides the others behind its places
+    rows = [("a", "x", 10 + k / 100) for k in range(300)] + [("a", f"y{k}", k / 10) for k in range(9)] + [("b", f"z{k}", rng.random()) for k in range(50)]
+    assert got(spark, rows, 3) == brute(rows, 3)
+    typed = [(k % 3 or None, None if k % 5 else [k], f"i{k}", float(k)) for k in range(60)]
+    out = top_per_group(spark.createDataFrame(typed, "a int, b array<int>, item string, score double"), ["a", "b"], "item", "score", 2)
+    assert dict(out.dtypes)["b"] == "array<int>"
+    groups = {}
+    for a, b, i, s in typed:
+        groups.setdefault((a, tuple(b) if b else None), []).append((-s, i))
+    assert {(r["a"], tuple(r["b"]) if r["b"] else None, r["item"]) for r in out.collect()} == {(*g, i) for g, x in groups.items() for _, i in sorted(x)[:2]}
