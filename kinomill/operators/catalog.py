@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinomill.functions.text import trimmed
 from kinomill.lineage import cut
+from kinomill.operators.search import catalog_limit
 
 
 def select_titles(
@@ -192,7 +193,7 @@ def bank_status(cast: DataFrame, vectors: DataFrame, least: int) -> DataFrame:
 
 
 def search_titles(titles: DataFrame, query: str, limit: int, alternates: DataFrame | None = None) -> DataFrame:
-    """Titles that contain a text in either name (or in an alternate one): equal names first, then those that begin so, then by name and year."""
+    """Titles that contain a text in either name (or in an alternate one): equal names first, then those that begin so, then by name and year; 20 for no limit, 100 at most."""
     own = F.col("normalized_title").contains(query) | F.col("normalized_original_title").contains(query)
     found = titles.filter(own) if query else titles
     if alternates is not None and query:
@@ -201,14 +202,15 @@ def search_titles(titles: DataFrame, query: str, limit: int, alternates: DataFra
     exact = (F.col("normalized_title") == query) | (F.col("normalized_original_title") == query)
     begins = F.col("normalized_title").startswith(query) | F.col("normalized_original_title").startswith(query)
     rank = F.when(exact, 0).when(begins, 1).otherwise(2)
-    return found.withColumn("rank", rank).orderBy("rank", "normalized_title", F.asc_nulls_first("year"), "title_id").limit(limit)
+    return found.withColumn("rank", rank).orderBy("rank", "normalized_title", F.asc_nulls_first("year"), "title_id").limit(catalog_limit(limit))
 
 
 def titles_by_exact_name(titles: DataFrame, alternates: DataFrame, variants: Sequence[str], limit: int) -> DataFrame:
-    """Titles one of whose names is one of the variants; the latest first."""
+    """Of the titles one of whose names is one of the variants the first ``limit`` by id (20 for none, 100 at most); of these the latest first."""
     ids = titles.filter(F.col("title").isin(*variants) | F.col("original_title").isin(*variants)).select("title_id")
     ids = ids.union(alternates.filter(F.col("title").isin(*variants)).select("title_id")).distinct()
-    return titles.join(ids, "title_id", "left_semi").orderBy(F.desc(F.coalesce("year", F.lit(0))), "title_id").limit(limit)
+    ids = ids.orderBy("title_id").limit(catalog_limit(limit))
+    return titles.join(F.broadcast(ids), "title_id", "left_semi").orderBy(F.desc(F.coalesce("year", F.lit(0))), "title_id")
 
 
 def find_title(titles: DataFrame, alternates: DataFrame, name: str, year: int | None = None) -> DataFrame:
@@ -221,7 +223,14 @@ def find_title(titles: DataFrame, alternates: DataFrame, name: str, year: int |
 
 
 def search_people(persons: DataFrame, query: str, limit: int) -> DataFrame:
-    """People whose name, id or one of whose aliases contains a text."""
+    """People whose name, id or one of whose aliases contains a text; 20 for no limit, 100 at most."""
     hit = F.col("normalized_name").contains(query) | F.lower("external_id").contains(query) | F.exists("aliases", lambda a: F.lower(a).contains(query))
     rank = F.when(F.col("normalized_name") == query, 0).when(F.col("normalized_name").startswith(query), 1).otherwise(2)
-    return (persons.filter(hit) if query else persons).withColumn("rank", rank).orderBy("rank", "normalized_name", "id").limit(limit)
+    return (persons.filter(hit) if query else persons).withColumn("rank", rank).orderBy("rank", "normalized_name", "id").limit(catalog_limit(limit))
+
+
+def find_person(persons: DataFrame, name: str) -> DataFrame:
+    """At most one person of a normalized name, or one of whose aliases is it; names come first, then the smaller id."""
+    named = F.col("normalized_name") == name
+    hit = named | F.exists("aliases", lambda a: F.lower(a) == name)
+    return persons.filter(hit).orderBy(F.desc(named), "id").limit(1)

@@ -104,8 +104,9 @@ def comparable(model: str, dimensions: int) -> Column:
 
 
 def scored(documents: DataFrame, request: SearchRequest) -> DataFrame:
-    """Adds ``score`` and keeps scores above the threshold, compared in single precision."""
-    rows = documents.withColumn("score", cosine_to(F.col("embedding"), request.vector))
+    """Adds ``score`` to scenes that can be compared and keeps scores above the threshold, compared in single precision. Documents without ``embedding_model`` are of no known model."""
+    known = documents if "embedding_model" in documents.columns else documents.withColumn("embedding_model", F.lit(""))
+    rows = known.filter(comparable(request.model, len(request.vector))).select(*documents.columns).withColumn("score", cosine_to(F.col("embedding"), request.vector))
     return rows.filter(F.col("score") > F.lit(request.min_score).cast("float"))
 
 

@@ -92,7 +92,7 @@ def principals_scan_io07(spark, folder):
     return snapshots.principals(table(spark, folder, "raw_title_principals")).select("line_no", "title_id", "name_id", "ordering")
 
 
-@plan(rf"SELECT DISTINCT replace(f[3], '\N', '') AS name_id FROM {P6} WHERE len(f) >= 6 AND f[1] <> 'tconst' AND f[4] IN ('actor', 'actress') AND f[3] LIKE 'nm1%'")
+@plan(rf"SELECT DISTINCT replace(f[3], '\N', '') AS name_id FROM {P6} WHERE len(f) >= 6 AND f[1] <> 'tconst' AND f[4] IN ('actor', 'actress')")
 def names_scan_io08(spark, folder):
     everyone = snapshots.principals(table(spark, folder, "raw_title_principals"), ("actor", "actress", "self", "writer", "director")).select("name_id").distinct()
     line = F.concat_ws("\t", "name_id", F.concat(F.lit("Person "), "name_id"), F.lit("1980"), F.lit("\\N"), F.lit("actor"), F.lit("\\N"))
@@ -141,10 +141,16 @@ def title_search_sl07_sl08(spark, folder):
     return catalog.search_titles(_titles(spark, folder), "goodbye", 20).select("title_id", "normalized_title", "rank")
 
 
-@plan(f"WITH w AS (SELECT min(title) AS v FROM {AKAS} WHERE aka_no = 2) SELECT t.title_id, coalesce(start_year, 0) AS year FROM {TITLES} t, w WHERE primary_title = v OR original_title = v OR title_id IN (SELECT title_id FROM {AKAS}, w WHERE title = v) ORDER BY year DESC, title_id LIMIT 20")
+@plan(
+    f"""WITH w AS (SELECT title AS v FROM {AKAS} GROUP BY 1 ORDER BY count(DISTINCT title_id) DESC, 1 LIMIT 1),
+        i AS (SELECT title_id FROM (SELECT t.title_id FROM {TITLES} t, w WHERE primary_title = v OR original_title = v UNION SELECT title_id FROM {AKAS}, w WHERE title = v) ORDER BY 1 LIMIT 3)
+        SELECT title_id, coalesce(start_year, 0) AS year FROM {TITLES} JOIN i USING (title_id)"""
+)
 def exact_title_sl09_so01(spark, folder):
-    wanted = _alternates(spark, folder).filter("ordering = 2").agg(F.min("title")).first()[0]
-    found = catalog.titles_by_exact_name(_titles(spark, folder), _alternates(spark, folder), [wanted], 20)
+    """The name that most titles have, and the first three ids of it."""
+    names = _alternates(spark, folder).groupBy("title").agg(F.countDistinct("title_id").alias("n"))
+    wanted = names.orderBy(F.desc("n"), "title").first()["title"]
+    found = catalog.titles_by_exact_name(_titles(spark, folder), _alternates(spark, folder), [wanted], 3)
     return found.select("title_id", F.coalesce("year", F.lit(0)).alias("year"))
 
 
@@ -155,10 +161,30 @@ def find_movie_sl10_sl14(spark, folder):
     return catalog.find_title(titles, _alternates(spark, folder), wanted).select("title_id", "year")
 
 
-@plan("SELECT c_custkey AS id, lower(c_name) AS name, CASE WHEN starts_with(lower(c_name), 'customer#0000001') THEN 1 ELSE 2 END AS rank FROM customer WHERE contains(lower(c_name), 'customer#0000001') ORDER BY rank, name, id LIMIT 100")
-def person_search_sl11_sl12_sl13_j18_p23(spark, folder):
-    people = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), text.normalized(F.col("c_name")).alias("normalized_name"), F.lit("").alias("external_id"), F.array(F.col("c_mktsegment")).alias("aliases"))
-    return catalog.search_people(people, "customer#0000001", 100).select("id", F.col("normalized_name").alias("name"), "rank")
+_PEOPLE = f"""(SELECT title_id AS id, n AS name, list(DISTINCT lower(a.title)) FILTER (a.title IS NOT NULL) AS aliases FROM {NORM} t LEFT JOIN {AKAS} a USING (title_id) GROUP BY ALL)"""
+
+
+def _people(spark, folder):
+    """Titles as if they were people: a name, an id, and other names as aliases."""
+    rows = catalog.with_alternates(_titles(spark, folder).select("title_id", "normalized_title"), _alternates(spark, folder))
+    return rows.select(F.col("title_id").alias("id"), F.col("normalized_title").alias("normalized_name"), F.col("title_id").alias("external_id"), F.col("alternate_titles").alias("aliases"))
+
+
+@plan(
+    f"""SELECT id, name, CASE WHEN name = 'ri' THEN 0 WHEN starts_with(name, 'ri') THEN 1 ELSE 2 END AS rank, contains(name, 'ri') AS by_name FROM {_PEOPLE}
+        WHERE contains(name, 'ri') OR contains(id, 'ri') OR len(list_filter(aliases, lambda a: contains(a, 'ri'))) > 0 ORDER BY rank, name, id LIMIT 100"""
+)
+def person_search_sl11_sl12_j18_p23(spark, folder):
+    """Some are found by an alias alone."""
+    found = catalog.search_people(_people(spark, folder), "ri", 1000)
+    return found.select("id", F.col("normalized_name").alias("name"), "rank", F.col("normalized_name").contains("ri").alias("by_name"))
+
+
+@plan(f"WITH w AS (SELECT max(lower(title)) AS v FROM {AKAS}) SELECT id, name FROM {_PEOPLE}, w WHERE name = v OR list_contains(aliases, v) ORDER BY name = v DESC, id LIMIT 1")
+def find_person_sl13(spark, folder):
+    """One person by a name that may be an alias."""
+    wanted = _alternates(spark, folder).agg(F.max(F.lower("title"))).first()[0]
+    return catalog.find_person(_people(spark, folder), wanted).select("id", F.col("normalized_name").alias("name"))
 
 
 @plan("SELECT person_id, count(DISTINCT vector_id) AS vectors FROM face_vectors WHERE person_id <> '' GROUP BY 1 HAVING count(DISTINCT vector_id) >= 3")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from kinomill.functions import vectors
@@ -87,14 +89,48 @@ def search_persons_p04_p05(spark, folder):
     return scenes.select("scene_id", F.size("person_ids").alias("persons"))
 
 
-@plan("SELECT vec_id, label FROM embeddings WHERE label % 2 = 1 AND len(embedding) = 64")
+_TWO_LENGTHS = f"""(SELECT vec_id, label, score FROM {SCORED} WHERE label % 2 = 1 AND vec_id % 3 <> 0 AND score > CAST(0.05 AS FLOAT))"""
+
+
+def _mixed(spark, folder):
+    """Scenes of two models, of which every third has a vector of half the length."""
+    rows = _vectors(spark, folder)
+    return rows.withColumn("embedding", F.when(F.col("scene_id") % 3 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+
+
+@plan(f"SELECT 'scene' AS mode, vec_id, label, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT * FROM {_TWO_LENGTHS} ORDER BY score DESC, vec_id LIMIT 100) UNION ALL SELECT 'media', vec_id, label, round(CAST(score AS DOUBLE), 6) FROM {_TWO_LENGTHS} QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5")
 def model_dim_guard_p07_p08(spark, folder):
-    return _vectors(spark, folder).filter(search.comparable("model-1", 64)).select(F.col("scene_id").alias("vec_id"), F.col("media_id").alias("label"))
+    """Both searches compare only scenes of the query's model and length."""
+    request = SearchRequest(_first(spark, folder), model="model-1", min_score=0.05, limit=100)
+    found = [("scene", search.search_scenes(_mixed(spark, folder), request)), ("media", search.search_media(_mixed(spark, folder), request))]
+    parts = [rows.select(F.lit(mode).alias("mode"), F.col("scene_id").alias("vec_id"), F.col("media_id").alias("label"), F.round(F.col("score").cast("double"), 6).alias("score")) for mode, rows in found]
+    return parts[0].unionAll(parts[1])
+
+
+@plan(f"SELECT asked::INT AS asked, least(CASE WHEN asked BETWEEN 1 AND 100 THEN asked ELSE 16 END, (SELECT count(*) FROM {SCORED} WHERE score > CAST(0.01 AS FLOAT)))::BIGINT AS results FROM (VALUES (-1), (0), (7), (100), (101)) AS v(asked)")
+def search_limits_sl04(spark, folder):
+    """How many scenes a search gives for limits within and beyond the bounds."""
+    counts = []
+    for asked in (-1, 0, 7, 100, 101):
+        found = search.search_scenes(_vectors(spark, folder), SearchRequest(_first(spark, folder), min_score=0.01, limit=asked))
+        counts.append(found.agg(F.count("*").alias("results")).select(F.lit(asked).alias("asked"), "results"))
+    return functools.reduce(lambda a, b: a.unionAll(b), counts)
+
+
+@plan("WITH p AS (SELECT scene_id, list(DISTINCT person_id) AS persons FROM scene_people GROUP BY scene_id) SELECT scene_id, len(persons)::INT AS persons FROM p WHERE list_contains(persons, (SELECT min(person_id) FROM scene_people WHERE person_id <> ''))")
+def search_person_p04(spark, folder):
+    """Scenes of one person."""
+    people = table(spark, folder, "scene_people")
+    one = people.filter("person_id <> ''").agg(F.min("person_id")).first()[0]
+    scenes = people.groupBy("scene_id").agg(F.collect_set("person_id").alias("person_ids"))
+    for condition in search.scene_filter(SearchRequest((), person_id=one or "")):
+        scenes = scenes.filter(condition)
+    return scenes.select("scene_id", F.size("person_ids").alias("persons"))
 
 
-@plan("SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id)::INT AS place FROM embeddings QUALIFY place <= 100")
+@plan("SELECT vec_id, label, row_number() OVER (ORDER BY label, vec_id)::INT AS place FROM embeddings")
 def scan_sorted_p06_sl15(spark, folder):
-    """The whole listing by media and scene. The SQL shows its first hundred places."""
+    """The whole listing by media and scene."""
     scenes = _vectors(spark, folder).select("scene_id", "media_id")
     found = search.scene_documents(scenes, scenes.select("media_id").distinct(), SearchRequest(()))
     return search.listing(found, ["media_id", "scene_id"]).select(F.col("scene_id").alias("vec_id"), F.col("media_id").alias("label"), F.col("place").cast("int").alias("place"))

@@ -15,14 +15,40 @@ plan = Registry()
 QUERIES, ORACLES = plan.queries, plan.oracles
 
 
-@plan("SELECT DISTINCT media_id, video_name, lower(regexp_extract(video_name, '\\.([^./]+)$', 1)) IN ('mp4', 'mkv', 'avi', 'mov', 'm4v', 'webm', 'flv', 'wmv', 'mpg', 'mpeg', 'ts') AS video FROM videos")
+#: What counts as a video by its extension, in SQL.
+_VIDEO = "('.mp4', '.mkv', '.mov', '.avi', '.webm', '.m4v', '.ts', '.flv', '.wmv', '.mpeg', '.mpg', '.3gp', '.rmvb')"
+#: Endings that file names are given in turn, so that every extension comes up, also in capitals and in the middle.
+_ENDINGS = ("", ".3gp", ".RMVB", ".txt", ".mp4.part", ".", ".webm", ".Mpeg")
+
+
+@plan(
+    f"""WITH v AS (SELECT DISTINCT media_id, video_name || list_extract({list(_ENDINGS)}, 1 + length(video_name) % 8) AS name, CASE WHEN length(video_name) % 7 = 0 THEN ' Video ' END AS category,
+          CASE WHEN length(video_name) % 5 = 0 THEN ' VIDEO/x' ELSE 'text/plain' END AS mime, CASE WHEN length(video_name) % 6 = 0 THEN ' .rmvb' WHEN length(video_name) % 6 = 1 THEN '.txt' ELSE ' ' END AS ext FROM videos)
+        SELECT media_id, name, lower(regexp_extract(name, '(\.[^./\\]*)$', 1)) IN {_VIDEO} AS by_name,
+          coalesce(lower(trim(category)) = 'video', false) OR starts_with(lower(trim(mime)), 'video/') OR CASE WHEN trim(ext) <> '' THEN lower(trim(ext)) ELSE lower(regexp_extract(name, '(\.[^./\\]*)$', 1)) END IN {_VIDEO} AS video FROM v"""
+)
 def video_names_io15_p27(spark, folder):
-    return table(spark, folder, "videos").select("media_id", "video_name", files.is_video(F.col("video_name")).alias("video")).distinct()
+    n = F.length("video_name")
+    rows = table(spark, folder, "videos").select("media_id", "video_name").distinct().select(
+        "media_id",
+        F.concat("video_name", F.get(F.array(*map(F.lit, _ENDINGS)), n % 8)).alias("name"),
+        F.when(n % 7 == 0, " Video ").alias("category"),
+        F.when(n % 5 == 0, " VIDEO/x").otherwise("text/plain").alias("mime"),
+        F.when(n % 6 == 0, " .rmvb").when(n % 6 == 1, ".txt").otherwise(" ").alias("ext"),
+    )
+    video = files.is_video(F.col("name"), F.col("category"), F.col("mime"), F.col("ext"))
+    return rows.select("media_id", "name", files.is_video(F.col("name")).alias("by_name"), video.alias("video"))
 
 
-@plan("SELECT count(*) AS readable FROM (SELECT DISTINCT media_id FROM videos WHERE size_bytes > 0)")
+@plan(
+    f"""SELECT problem, count(*) AS files FROM (SELECT CASE WHEN size_bytes IS NULL THEN 'missing' WHEN size_bytes <= 0 THEN 'empty' WHEN lower(regexp_extract(coalesce(video_name, ''), '(\.[^./\\]*)$', 1)) NOT IN {_VIDEO} THEN 'not a video' END AS problem
+        FROM (SELECT DISTINCT media_id, video_name, CASE WHEN length(video_name) % 9 = 0 THEN 0 WHEN length(video_name) % 9 = 1 THEN NULL ELSE size_bytes END AS size_bytes FROM videos)) GROUP BY problem"""
+)
 def inspected_io16(spark, folder):
-    return table(spark, folder, "videos").filter("size_bytes > 0").select("media_id").distinct().agg(F.count("*").alias("readable"))
+    n = F.length("video_name")
+    size = F.when(n % 9 == 0, 0).when(n % 9 == 1, None).otherwise(F.col("size_bytes"))
+    rows = table(spark, folder, "videos").select("media_id", "video_name", size.alias("size_bytes")).distinct()
+    return files.readable(rows, "video_name", "size_bytes").groupBy("problem").agg(F.count("*").alias("files"))
 
 
 @plan(

@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinomill.functions.text import trimmed
 from kinomill.lineage import cut
 
 #: What counts as a video by its name, and how many files a folder may hold.
-EXTENSIONS = ("mp4", "mkv", "avi", "mov", "m4v", "webm", "flv", "wmv", "mpg", "mpeg", "ts")
+EXTENSIONS = (".mp4", ".mkv", ".mov", ".avi", ".webm", ".m4v", ".ts", ".flv", ".wmv", ".mpeg", ".mpg", ".3gp", ".rmvb")
 MOST_FILES = 500
 
 
-def is_video(name: Column, category: Column | None = None, mime: Column | None = None) -> Column:
-    """By category, by MIME type, or by extension."""
-    video = F.lower(F.regexp_extract(name, r"\.([^./\\]+)$", 1)).isin(*EXTENSIONS)
+def is_video(name: Column, category: Column | None = None, mime: Column | None = None, extension: Column | None = None) -> Column:
+    """By category, by MIME type, or by extension, which is that of the name where none is given (or a blank one)."""
+    own = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"(\.[^./\\]*)$", 1))
+    video = (own if extension is None else F.coalesce(F.when(trimmed(extension) != "", F.lower(trimmed(extension))), own)).isin(*EXTENSIONS)
     if category is not None:
-        video = video | F.coalesce(F.lower(category) == "video", F.lit(False))
+        video = video | F.coalesce(F.lower(trimmed(category)) == "video", F.lit(False))
     if mime is not None:
-        video = video | F.coalesce(F.lower(mime).startswith("video/"), F.lit(False))
+        video = video | F.coalesce(F.lower(trimmed(mime)).startswith("video/"), F.lit(False))
     return video
 
 
+def readable(files: DataFrame, name: str = "path", length: str = "length") -> DataFrame:
+    """Each file with ``problem``: ``missing`` (no length), ``empty``, ``not a video``, or null if it can be read."""
+    problem = F.when(F.col(length).isNull(), "missing").when(F.col(length) <= 0, "empty").when(~is_video(F.col(name)), "not a video")
+    return files.withColumn("problem", problem)
+
+
 def video_files(spark: SparkSession, folder: str, recursive: bool = False, most: int = MOST_FILES) -> DataFrame:
     """``path`` and ``length`` of the non-empty videos of a folder, in order of path; only names and lengths are read.
 

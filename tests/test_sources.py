@@ -54,24 +54,24 @@ def test_indexes_of_columns(spark):
 
 
 def test_video_files(spark, tmp_path):
-    for name in ("b.mkv", "a.MP4", "x.txt", "empty.mp4", "sub/c.avi", ".hidden/d.avi"):
+    for name in ("b.mkv", "a.MP4", "x.txt", "empty.mp4", "sub/c.RMVB", "sub/e.3gp", ".hidden/d.avi"):
         path = tmp_path / name
         path.parent.mkdir(exist_ok=True)
         path.write_bytes(b"" if "empty" in name else b"12")
     assert [r["path"].rpartition("/")[2] for r in files.video_files(spark, str(tmp_path)).collect()] == ["a.MP4", "b.mkv"]
-    assert [r["path"].rpartition("/")[2] for r in files.video_files(spark, str(tmp_path), True).collect()] == ["a.MP4", "b.mkv", "c.avi"]
+    assert [r["path"].rpartition("/")[2] for r in files.video_files(spark, str(tmp_path), True).collect()] == ["a.MP4", "b.mkv", "c.RMVB", "e.3gp"]
     with pytest.raises(ValueError):
         files.video_files(spark, str(tmp_path), True, most=2)
 
 
 def test_snapshots(spark, tmp_path):
-    lines = "tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\tendYear\truntimeMinutes\tgenres\ntt0001\tmovie\tA \"Movie\tA Movie\t0\t2024\t\\N\t120\tDrama,Comedy\ntt0002\tshort\tB\tB\t0\t2020\t\\N\t\\N\t\\N\nshort line\ntt0003\tmovie\tC\tC\t1\t\\N\t\\N\t90\t\n"
+    lines = "tconst\ttitleType\tprimaryTitle\toriginalTitle\tisAdult\tstartYear\tendYear\truntimeMinutes\tgenres\ntt7410\tmovie\tSalt \"Harbour\tHavn av salt\t0\t1987\t\\N\t103\tWestern,Musical\ntt7411\tshort\tKettle\tKettle\t0\t1979\t\\N\t\\N\t\\N\nshort line\ntt7412\tmovie\tNight Ferry\tNight Ferry\t1\t\\N\t\\N\t88\t\n"
     (tmp_path / "t.tsv.gz").write_bytes(gzip.compress(lines.encode()))
     titles = snapshots.titles(snapshots.read_lines(spark, str(tmp_path / "t.tsv.gz")))
     assert {r["title_id"]: (r["title"], r["year"], r["runtime_minutes"], r["genres"]) for r in titles.collect()} == {
-        "tt0001": ('A "Movie', 2024, 120, ["Drama", "Comedy"]), "tt0002": ("B", 2020, 0, []), "tt0003": ("C", None, 90, []),
+        "tt7410": ('Salt "Harbour', 1987, 103, ["Western", "Musical"]), "tt7411": ("Kettle", 1979, 0, []), "tt7412": ("Night Ferry", None, 88, []),
     }
-    assert [r["title_id"] for r in catalog.select_titles(titles, include_adult=False, first_year=2020).collect()] == ["tt0001"]
+    assert [r["title_id"] for r in catalog.select_titles(titles, include_adult=False, first_year=1980).collect()] == ["tt7410"]
     (tmp_path / "ids").write_text("tt1 # one\n\n# none\n tt2\ntt1\n")
     assert {r["title_id"] for r in snapshots.allowed_ids(snapshots.read_lines(spark, str(tmp_path / "ids"))).collect()} == {"tt1", "tt2"}
     (tmp_path / "m.jsonl").write_text('{"media_id": "a", "title": "x", "year": 2000}\n{"title": "y"}\n')
@@ -99,11 +99,11 @@ def test_credits(spark):
 
 
 def test_resolution_tiers(spark):
-    titles = spark.createDataFrame([("tt0166076", "Amélie", "Amélie", 1961), ("tt0211915", "Le Fabuleux Destin", "Le Fabuleux Destin", 2001), ("t3", "The Pursuit of Happyness", "", 2006)], "title_id string, title string, original_title string, year int")
-    akas = spark.createDataFrame([("tt0211915", "Amelie from Montmartre")], "title_id string, title string")
-    rows = [("m1", "t3", "x", "", None), ("m2", "", "Amelie", "", None), ("m3", "", "The.Pursuit.of.Happyness.2006.1080p.mkv", "", None), ("m4", "", "amelie from montmartre", "", None), ("m5", "", "Nothing", None, None)]
+    titles = spark.createDataFrame([("tt52", "Brúnó", "Brúnó", 1948), ("tt61", "A Nagy Utazás", "A Nagy Utazás", 1993), ("t3", "The Weight of Lanterns", "", 2014)], "title_id string, title string, original_title string, year int")
+    akas = spark.createDataFrame([("tt61", "Bruno across the River")], "title_id string, title string")
+    rows = [("m1", "t3", "x", "", None), ("m2", "", "Bruno", "", None), ("m3", "", "The.Weight.of.Lanterns.2014.1080p.mkv", "", None), ("m4", "", "bruno across the river", "", None), ("m5", "", "Nothing", None, None)]
     media = spark.createDataFrame([(*r, "") for r in rows], "media_id string, movie_id string, title string, original_title string, year int, remote_name string")
     got = {r["media_id"]: (r["title_id"], r["tier"]) for r in resolve.resolve(media, titles, akas).collect()}
-    assert got == {"m1": ("t3", 1), "m2": ("tt0166076", 2), "m3": ("t3", 2), "m4": ("tt0166076", 3)}
+    assert got == {"m1": ("t3", 1), "m2": ("tt52", 2), "m3": ("t3", 2), "m4": ("tt52", 3)}
     scenes = spark.createDataFrame([("m1",)], "media_id string")
     assert [r["title_id"] for r in resolve.processed_titles(media, scenes, titles, akas).collect()] == ["t3"]
