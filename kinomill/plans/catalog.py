@@ -257,15 +257,15 @@ def dup_repair_j24(spark, folder):
     f"""WITH m AS (SELECT DISTINCT media_id, title, coalesce(original_title, '') AS original FROM media), t AS (SELECT primary_title AS v, min(title_id) AS a FROM {TITLES} WHERE primary_title <> '' GROUP BY 1), u AS (SELECT original_title AS v, min(title_id) AS b FROM {TITLES} WHERE original_title <> '' GROUP BY 1)
         SELECT media_id, coalesce(a, b, media_id) AS canonical FROM m LEFT JOIN t ON t.v = title LEFT JOIN u ON u.v = original"""
 )
-def prioritized_lookup_j11_j12_j23_j25(spark, folder):
+def prioritized_lookup_j23(spark, folder):
     rows = table(spark, folder, "media").select(F.col("media_id").alias("id"), "title", F.coalesce("original_title", F.lit("")).alias("original_title")).distinct()
     existing = _titles(spark, folder).select(F.col("title_id").alias("id"), "title", "original_title")
     return catalog.resolved_ids(rows, existing, ["title", "original_title"]).select(F.col("id").alias("media_id"), "canonical")
 
 
 @plan(
-    """WITH RECURSIVE e AS (SELECT DISTINCT vector_id AS id, person_id AS a, coalesce(image_id, scene_id) AS b FROM face_vectors),
-       d AS (SELECT e.id, coalesce((SELECT min(x.id) FROM e x WHERE x.a = e.a AND trim(e.a) <> ''), e.id) AS c FROM e) SELECT id, c AS canonical FROM d"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT vector_id AS id, person_id AS a, image_id AS b FROM face_vectors), u AS (SELECT id, 'a' || a AS k FROM e WHERE trim(a) <> '' UNION SELECT id, 'b' || b FROM e WHERE trim(b) <> ''),
+       links AS (SELECT DISTINCT x.id AS i, y.id AS j FROM u x JOIN u y USING (k)), r AS (SELECT id AS i, id AS j FROM e UNION SELECT r.i, links.j FROM r JOIN links ON r.j = links.i) SELECT i AS id, min(j) AS canonical FROM r GROUP BY i"""
 )
 def identity_map_w07_w08(spark, folder):
     rows = table(spark, folder, "face_vectors").select(F.col("vector_id").alias("id"), "person_id", "image_id").distinct()
@@ -329,13 +329,3 @@ def orphan_cleanup_j16_so03(spark, folder):
 def unique_names_ag18(spark, folder):
     rows = _alternates(spark, folder).select(text.normalized(F.col("title")).alias("normalized_name"), F.col("title").alias("name"), F.concat("title_id", F.lit(":"), F.lpad(F.col("ordering").cast("string"), 4, "0")).alias("ord"))
     return rows.groupBy("normalized_name").agg(F.min_by("name", "ord").alias("name"))
-
-
-@plan(
-    f"""SELECT 'titles' AS counter, count(*) AS n FROM {TITLES} UNION ALL SELECT 'aliases', count(*) FROM (SELECT DISTINCT title_id, aka_no FROM title_akas) UNION ALL SELECT 'cast', count(*) FROM {_CAST} WHERE title_id IN (SELECT title_id FROM titles)"""
-)
-def import_counters_ag11_w13(spark, folder):
-    titles = table(spark, folder, "titles").select("title_id").distinct()
-    counts = (("titles", titles), ("aliases", table(spark, folder, "title_akas").select("title_id", "aka_no").distinct()), ("cast", catalog.with_owner(_cast(spark, folder), titles, "title_id")))
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n") for name, df in counts]
-    return rows[0].unionAll(rows[1]).unionAll(rows[2])
