@@ -51,6 +51,11 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
 def list_path(spark: SparkSession, path: str) -> list[str]:
     """Names in the folder ``path``, none if it is absent."""
     files, target = _file_system(spark, path)

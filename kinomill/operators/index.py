@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinomill.functions.text import cleaned_ids, trimmed
-from kinomill.lineage import scratch_path
+from kinomill.lineage import exists, scratch_path
 
 
 def settled_media(media: DataFrame) -> DataFrame:
@@ -89,6 +89,20 @@ def public_scenes(scenes: Column, base: str) -> Column:
     return F.transform(scenes, lambda s: s.withField("preview", F.when(F.coalesce(s["preview"], F.lit("")) != "", F.concat(F.lit(base), s["preview"])).otherwise("")).dropFields("preview_path"))
 
 
+def stored_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table ``path``, empty with ``schema`` if there is none yet. A folder that holds no rows is an empty table; a file that cannot be read is an error when it is read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a file of JSON lines, none if it is absent or empty; a broken line is an error when it is read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
     """Writes ``df`` (which may read ``path``) aside and then moves it into place."""
     spark = df.sparkSession

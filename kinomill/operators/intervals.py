@@ -5,22 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinomill.operators.timeline import CELLS, islands
 
-def missing(requests: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
+
+def missing(requests: DataFrame, blocks: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """The parts of each request that no block of its key covers: ``request``, ``start``, ``end``.
 
-    Blocks are cut to the request they meet; the gaps lie between the furthest end so
-    far and the next start.  A request and the blocks of its key meet by key.
+    Requests and blocks are cut at the edges of cells and meet by key and cell, so neither
+    all blocks of a key meet a request nor is a key one window.  In a cell the gaps lie
+    between the furthest end so far and the next start; gaps that touch over an edge are
+    one.  Empty blocks cover nothing.
     """
-    asked = requests.select(key, "request", F.col("start").alias("_a"), F.col("end").alias("_b"))
-    met = asked.join(blocks.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")), key, "left")
-    overlap = (F.col("_e") > F.col("_a")) & (F.col("_s") < F.col("_b"))
-    clipped = met.filter(overlap).select(key, "request", "_a", "_b", F.greatest("_s", "_a").alias("s"), F.least("_e", "_b").alias("e"))
-    ends = asked.select(key, "request", "_a", "_b", F.col("_b").alias("s"), F.col("_b").alias("e"))
-    before = Window.partitionBy(key, "request").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    ends = requests.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
+    low, high = (0, 0) if ends["low"] is None else (ends["low"], ends["high"])
+    size = F.lit((high - low) // CELLS + 1 if width is None else width)
+
+    def cut(rows: DataFrame, low: str, high: str) -> DataFrame:
+        cells = F.sequence(F.floor(F.col(low) / size), F.greatest(F.floor(F.col(low) / size), F.ceil(F.col(high) / size) - 1))
+        return rows.withColumn("_cell", F.explode(cells)).withColumns({low: F.greatest(F.col(low), F.col("_cell") * size), high: F.least(F.col(high), (F.col("_cell") + 1) * size)})
+
+    asked = cut(requests.filter(F.col("start") < F.col("end")).select(key, "request", F.col("start").alias("_a"), F.col("end").alias("_b")), "_a", "_b")
+    near = blocks.select(key, F.greatest("start", F.lit(low)).alias("_s"), F.least("end", F.lit(high)).alias("_e")).filter("_s < _e")
+    met = asked.join(cut(near, "_s", "_e"), [key, "_cell"])
+    clipped = met.filter((F.col("_e") > F.col("_a")) & (F.col("_s") < F.col("_b"))).select(key, "request", "_cell", "_a", F.greatest("_s", "_a").alias("s"), F.least("_e", "_b").alias("e"))
+    ends = asked.select(key, "request", "_cell", "_a", F.col("_b").alias("s"), F.col("_b").alias("e"))
+    before = Window.partitionBy(key, "request", "_cell").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("e").over(before), F.col("_a"))
-    gaps = clipped.unionAll(ends).withColumn("start", reached).filter(F.col("start") < F.col("s"))
-    return gaps.select(key, "request", "start", F.col("s").alias("end"))
+    gaps = clipped.unionAll(ends).withColumn("start", reached).filter(F.col("start") < F.col("s")).select(F.struct(key, "request").alias("_r"), "start", F.col("s").alias("end"))
+    return islands(gaps, "_r", 0).select(F.col(f"_r.{key}").alias(key), F.col("_r.request").alias("request"), "start", "end")
 
 
 def covered(requests: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

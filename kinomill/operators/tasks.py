@@ -23,9 +23,29 @@ def running_percent(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def first_of_equals(rows: DataFrame, fingerprint: str, order: list[str]) -> DataFrame:
     """Each row with whether it is the first with its fingerprint and which row that is; blank fingerprints are all different."""
-    window = Window.partitionBy(fingerprint).orderBy(*order)
     known = F.trim(F.coalesce(F.col(fingerprint), F.lit(""))) != ""
-    return rows.withColumn("first_id", F.when(known, F.first("id").over(window)).otherwise(F.col("id"))).withColumn("is_first", F.col("first_id") == F.col("id"))
+    # reduced on every partition before the shuffle, so a fingerprint of many rows costs no more than others
+    firsts = rows.filter(known).groupBy(fingerprint).agg(F.min_by("id", F.struct(*order)).alias("first_id"))
+    joined = rows.join(firsts, fingerprint, "left").select(*rows.columns, F.coalesce("first_id", "id").alias("first_id"))
+    return joined.withColumn("is_first", F.col("first_id") == F.col("id"))
+
+
+def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """What a subscriber that knows ``before`` is told: ``updated`` with the new row, where it is new or other, and ``removed``."""
+    rest = [c for c in after.columns if c != key]
+    old = before.select(F.col(key), F.struct(*rest).alias("_old"))
+    new = after.select(F.col(key), F.struct(*rest).alias("_new"))
+    both = old.join(new, key, "full").withColumn("kind", F.when(F.col("_new").isNull(), "removed").when(F.col("_old").isNull() | ~F.col("_old").eqNullSafe(F.col("_new")), "updated"))
+    return both.filter("kind IS NOT NULL").select(key, "kind", "_new.*")
+
+
+def checked_commands(commands: DataFrame, media: DataFrame) -> DataFrame:
+    """Commands to open a media (``media_id``, ``time``), static or a stream, with ``problem``: ``unknown media``, ``bad time`` (not a number, or not within the ``duration``, where it is known), or null."""
+    known = media.select("media_id", F.coalesce("duration", F.lit(float("inf"))).alias("_duration"), F.lit(True).alias("_known"))
+    time = F.col("time").cast("double")
+    bad = time.isNull() | F.isnan(time) | (F.abs(time) == float("inf")) | (time < 0) | (time > F.col("_duration"))
+    joined = commands.join(known, "media_id", "left")
+    return joined.withColumn("problem", F.when(F.col("_known").isNull(), "unknown media").when(bad, "bad time")).drop("_duration", "_known")
 
 
 def recovered(tasks: DataFrame) -> DataFrame:

@@ -6,19 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(probes: DataFrame, series: DataFrame, key: str, time: str, value: str, first_if_none: bool = True) -> DataFrame:
+#: Cells into which the times of a table are cut, so that a key of many rows is no single window.
+CELLS = 1024
+
+
+def cell_width(rows: DataFrame, time: str, cells: int = CELLS) -> float:
+    """The width of so many cells over all times of ``rows``; 1 if there is but one time."""
+    ends = rows.agg((F.max(time).cast("double") - F.min(time).cast("double")).alias("span")).first()
+    return (ends["span"] or 0.0) / cells or 1.0
+
+
+def _before(cells: DataFrame, key: str, value: Column) -> DataFrame:
+    """``cells`` (a row for each key and ``_cell``) with ``_carried``, the aggregate ``value`` of the cells before it."""
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.select(key, "_cell", value.over(earlier).alias("_carried"))
+
+
+def as_of(probes: DataFrame, series: DataFrame, key: str, time: str, value: str, first_if_none: bool = True, width: float | None = None) -> DataFrame:
     """Adds to each probe the last ``value`` of the series at or before its time; before the first, the first one if asked for.
 
-    Both sides are sorted together once for each key; no probe is paired with more than
-    one row.  Of several rows of one time the largest value counts.
+    Both sides are sorted together within a key's cells of time; each cell hands its last
+    value to the ones after it, so a key with many rows is many windows, and no probe is paired
+    with more than one row.  Of several rows of one time the largest value counts.
     """
     rows = series.select(key, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_s")).withColumn("_p", F.lit(None).cast(probes.schema.simpleString()))
     asked = probes.select(key, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.struct(*probes.columns).alias("_p"))
-    order = Window.partitionBy(key).orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.select(*asked.columns).unionAll(asked).withColumn("_last", F.last("_s", ignorenulls=True).over(order))
+    cell = F.floor(F.col("_t").cast("double") / F.lit(cell_width(series, time) if width is None else width))
+    both = rows.select(*asked.columns).unionAll(asked).withColumn("_cell", cell)
+    lasts = both.groupBy(key, "_cell").agg(F.max(F.when(F.col("_side") == 0, F.col("_s"))).alias("_latest"))
+    carried = _before(lasts, key, F.last("_latest", ignorenulls=True))
+    order = Window.partitionBy(key, "_cell").orderBy("_t", "_side", "_s").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_last", F.last("_s", ignorenulls=True).over(order)).filter("_side = 1").join(carried, [key, "_cell"], "left")
+    last = F.coalesce("_last", "_carried")
     if first_if_none:
-        filled = filled.withColumn("_last", F.coalesce("_last", F.min("_s").over(Window.partitionBy(key))))
-    return filled.filter("_side = 1").select("_p.*", F.col("_last.v").alias(value))
+        filled = filled.join(rows.groupBy(key).agg(F.min("_s").alias("_first")), key, "left")
+        last = F.coalesce(last, "_first")
+    return filled.select("_p.*", last["v"].alias(value))
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, key: str, width: float) -> DataFrame:
@@ -28,12 +51,20 @@ def in_ranges(points: DataFrame, ranges: DataFrame, key: str, width: float) -> D
     return placed.join(cells, [key, "_cell"]).filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))).drop("_cell")
 
 
-def islands(spans: DataFrame, key: str, gap: float) -> DataFrame:
-    """Spans of a key merged where one starts at most ``gap`` after the latest end so far."""
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(key).orderBy("start", "end")
-    latest = F.max("end").over(before)
-    numbered = spans.withColumn("_new", F.when(latest.isNull() | (F.col("start") > latest + gap), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(upto))
+def islands(spans: DataFrame, key: str, gap: float, width: float | None = None) -> DataFrame:
+    """Spans of a key merged where one starts at most ``gap`` after the latest end so far.
+
+    A key's spans are handled in cells of their starts; each cell hands its latest end and its
+    number of islands to the ones after it.
+    """
+    placed = spans.withColumn("_cell", F.floor(F.col("start").cast("double") / F.lit(cell_width(spans, "start") if width is None else width)))
+    ends = _before(placed.groupBy(key, "_cell").agg(F.max("end").alias("_end")), key, F.max("_end"))
+    before = Window.partitionBy(key, "_cell").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(key, "_cell").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.greatest(F.max("end").over(before), F.col("_carried"))  # nulls do not count
+    marked = placed.join(ends, [key, "_cell"]).withColumn("_new", F.when(latest.isNull() | (F.col("start") > latest + gap), 1).otherwise(0)).drop("_carried")
+    counts = _before(marked.groupBy(key, "_cell").agg(F.sum("_new").alias("_sum")), key, F.sum("_sum"))
+    numbered = marked.join(counts, [key, "_cell"]).withColumn("_island", F.coalesce("_carried", F.lit(0)) + F.sum("_new").over(upto))
     return numbered.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinomill.operators import index, tasks
+from kinomill.operators import index, reports, tasks
 from kinomill.plans.registry import Registry, sql_trim
 from kinomill.streaming import tasks as stream
 from kinomill.tables import table
@@ -81,12 +81,16 @@ def overwrite_vectors_w11(spark, folder):
     return index.overwrite_by_keys(rows.filter("model = 'face-a'"), rows.filter("model = 'face-b'"), ["vector_id", "image_id"])
 
 
-@plan("SELECT count(*) AS cleared FROM (SELECT DISTINCT request_id FROM requests WHERE local_path <> '' AND lower(trim(source)) <> 'local')")
+@plan(
+    """WITH r AS (SELECT DISTINCT request_id, local_path, CASE WHEN request_id % 4 = 0 THEN ' ' WHEN request_id % 4 = 1 THEN NULL ELSE 'http://' || source END AS source_url FROM requests), s AS (SELECT *, trim(coalesce(local_path, '')) <> '' AND trim(coalesce(source_url, '')) <> '' AS stale FROM r)
+       SELECT request_id, CASE WHEN stale THEN '' ELSE local_path END AS local_path, (SELECT count(*) FROM s WHERE stale) AS cleared FROM s"""
+)
 def clear_paths_w17(spark, folder):
-    rows = table(spark, folder, "requests").dropDuplicates(["request_id"])
-    stale = (F.col("local_path") != "") & (F.lower(F.trim("source")) != "local")
-    cleared = rows.withColumn("cleared", F.coalesce(stale, F.lit(False))).withColumn("local_path", F.when(F.col("cleared"), "").otherwise(F.col("local_path")))
-    return cleared.agg(F.count_if("cleared").alias("cleared"))
+    """Local paths of what has an address, and how many were cleared."""
+    n = F.col("request_id")
+    address = F.when(n % 4 == 0, " ").when(n % 4 > 1, F.concat(F.lit("http://"), "source"))
+    kept, count = reports.without_remote_paths(table(spark, folder, "requests").select("request_id", "local_path", address.alias("source_url")).distinct())
+    return kept.select("request_id", "local_path", F.lit(count.first()["cleared"]).alias("cleared"))
 
 
 @plan(
@@ -107,21 +111,19 @@ def media_nested_j02(spark, folder):
 def validate_media_p10(spark, folder):
     scenes = _scenes(spark, folder).select("media_id", F.col("start_sec").alias("start"), F.col("end_sec").alias("end"), F.lit(0.0).cast("float").alias("quality_score"))
     media = _media(spark, folder).select("media_id", F.col("media_type").alias("type"), "title", F.col("release_year").alias("year"), F.col("duration_sec").alias("duration"))
-    nested = index.settled_media(index.nest_scenes(media, scenes))
-    return nested.select("media_id", F.array_join(index.media_errors(), ",").alias("errors"))
+    return reports.media_problems(media, scenes).select("media_id", F.array_join("errors", ",").alias("errors"))
 
 
-@plan("SELECT media_id, string_agg(DISTINCT CASE WHEN preview <> '' THEN '/v1/frames/' || preview ELSE '' END, ',' ORDER BY CASE WHEN preview <> '' THEN '/v1/frames/' || preview ELSE '' END) AS previews FROM scene_results GROUP BY media_id")
+@plan("SELECT DISTINCT media_id, scene_id, CASE WHEN preview <> '' THEN '/v1/frames/' || preview ELSE '' END AS preview FROM scene_results")
 def public_scenes_p31(spark, folder):
-    rows = table(spark, folder, "scene_results").select("media_id", F.lit(0.0).alias("start"), "preview", F.lit("/private").alias("preview_path")).distinct()
-    nested = index.nest_scenes(rows.select("media_id").distinct(), rows)
-    shown = index.public_scenes(F.col("scenes"), "/v1/frames/")
-    return nested.select("media_id", F.array_join(F.array_sort(F.array_distinct(F.transform(shown, lambda s: s["preview"]))), ",").alias("previews"))
+    """Scenes as shown outside, nested by scene so that no media is one row."""
+    rows = table(spark, folder, "scene_results").select("media_id", "scene_id", F.array(F.struct("preview", F.lit("/private").alias("preview_path"))).alias("scenes"))
+    return rows.select("media_id", "scene_id", F.inline(index.public_scenes(F.col("scenes"), "/v1/frames/"))).distinct()
 
 
-@plan(f"SELECT media_id, bool_and(coalesce(preview, '') <> '') AS complete FROM scene_results GROUP BY media_id")
+@plan("SELECT media_id, coalesce(bool_and(trim(coalesce(preview, '')) <> '') FILTER (s.media_id IS NOT NULL), false) AS complete FROM (SELECT DISTINCT media_id FROM media) m LEFT JOIN scene_results s USING (media_id) GROUP BY media_id".replace("FILTER (s.media_id IS NOT NULL)", "FILTER (scene_id IS NOT NULL)"))
 def all_previews_ar13(spark, folder):
-    return table(spark, folder, "scene_results").groupBy("media_id").agg(F.min(F.coalesce("preview", F.lit("")) != "").alias("complete"))
+    return reports.all_previews(table(spark, folder, "scene_results"), table(spark, folder, "media"))
 
 
 @plan("SELECT count(*) AS rows, count(DISTINCT media_id) AS media FROM (SELECT DISTINCT media_id, scene_id FROM scene_results)")
@@ -211,7 +213,41 @@ def stream_task_state_st02_ag17(spark, folder):
     return found.withColumn("percent", F.round("percent", 6))
 
 
-@plan("SELECT count(DISTINCT user_id || '|' || event_type) AS kinds FROM events")
+@plan("SELECT DISTINCT user_id || '|' || event_type AS kind FROM events")
 def stream_first_seen_st03(spark, folder):
+    """Each kind of event once, as it comes first."""
     rows = stream.file_stream(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("|", "user_id", "event_type").alias("kind"))
-    return stream.first_seen_of_stream(rows, "kind", "ts", "400 days").agg(F.count("*").alias("kinds"))
+    return stream.first_seen_of_stream(rows, "kind", "ts", "400 days").select("kind")
+
+
+@plan("SELECT user_id, event_id, event_type FROM (SELECT user_id, max(event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id)")
+def stream_snapshot_w18(spark, folder):
+    """The snapshot that a stream of task events keeps in a table, replaced after each batch."""
+    from kinomill.lineage import scratch_path
+
+    path = scratch_path(spark, "tasks")
+    stream.kept_snapshot(stream.file_stream(spark, folder, "events").select("user_id", "event_id", "event_type"), path, "user_id", ["event_id"])
+    return spark.read.parquet(path)
+
+
+@plan(
+    f"""WITH a AS (SELECT user_id AS id, max_by({STATE}, event_id) AS state FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id AS id, max_by({STATE}, event_id) AS state FROM events WHERE user_id % 9 <> 0 GROUP BY 1)
+        SELECT id, CASE WHEN b.id IS NULL THEN 'removed' ELSE 'updated' END AS kind, b.state FROM a FULL JOIN b USING (id) WHERE a.id IS NULL OR b.id IS NULL OR a.state IS DISTINCT FROM b.state"""
+)
+def task_changes_st01(spark, folder):
+    """What a subscriber is told between two states of the task log: new and changed tasks, and removed ones."""
+    events = table(spark, folder, "events").select(F.col("user_id").alias("id"), "event_id", F.expr(STATE).alias("state"))
+    states = [tasks.latest_states(rows, "id", ["event_id"]).drop("event_id") for rows in (events.filter("event_id % 2 = 0"), events.filter("id % 9 <> 0"))]
+    return tasks.changes(*states, "id").select("id", "kind", "state")
+
+
+@plan(
+    """WITH c AS (SELECT event_id, user_id AS media_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value * 100 - 500 END AS time FROM events), m AS (SELECT c_custkey AS media_id, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS duration FROM customer WHERE c_custkey % 5 <> 0)
+       SELECT event_id, CASE WHEN m.media_id IS NULL THEN 'unknown media' WHEN time IS NULL OR time < 0 OR time > duration THEN 'bad time' END AS problem FROM c LEFT JOIN m USING (media_id)"""
+)
+def stream_commands_st10(spark, folder):
+    """Commands that come as a stream, checked against the table of media."""
+    commands = stream.file_stream(spark, folder, "events").select("event_id", F.col("user_id").alias("media_id"), F.when(F.col("event_id") % 11 != 0, F.col("value") * 100 - 500).alias("time"))
+    key = F.col("c_custkey")
+    media = table(spark, folder, "customer").filter(key % 5 != 0).select(key.alias("media_id"), F.when(key % 4 != 0, F.col("c_acctbal")).alias("duration"))
+    return stream.checked_stream(commands, media).select("event_id", "problem")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinomill.functions import timeline as tl
 from kinomill.functions import vectors
-from kinomill.operators import faces, intervals, timeline
+from kinomill.operators import faces, intervals, reports, timeline
 from kinomill.plans.registry import Registry
 from kinomill.tables import table
 
@@ -93,17 +93,43 @@ def reference_candidates_p20_so03(spark, folder):
     return faces.reference_candidates(images, taken).select("image_id").distinct()
 
 
-@plan("SELECT DISTINCT image_id, CASE WHEN quality >= CAST(0.6 AS FLOAT) THEN 'ready' ELSE 'rejected' END AS status FROM face_vectors WHERE image_id IS NOT NULL AND quality IS NOT NULL")
+#: Detections of each portrait: as many faces as the last digit of its quality modulo three, the first of them with that quality.
+_DETECTED = """(SELECT image_id, max(quality) AS q, count(*) % 3 + 1 AS faces, length(image_id) % 5 = 0 AS failed FROM face_vectors WHERE image_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1)"""
+
+
+@plan(
+    f"""WITH v AS (SELECT DISTINCT image_id FROM face_vectors WHERE model = 'face-b' AND image_id IS NOT NULL), s AS (SELECT d.image_id, CASE WHEN v.image_id IS NOT NULL THEN 'skipped' WHEN failed THEN 'failed' WHEN faces = 1 AND q >= CAST(0.6 AS FLOAT) THEN 'ready' ELSE 'rejected' END AS status
+        FROM {_DETECTED} d LEFT JOIN v USING (image_id)) SELECT image_id, status, status IN ('skipped', 'ready') AS has_vector FROM s"""
+)
 def ingestion_state_u10(spark, folder):
-    rows = table(spark, folder, "face_vectors").filter("image_id IS NOT NULL AND quality IS NOT NULL")
-    return rows.select("image_id", faces.ingestion_state(F.array("quality"), 0.6).alias("status")).distinct()
+    """Portraits after ingestion, and whether each has a vector then."""
+    rows = table(spark, folder, "face_vectors").filter("image_id IS NOT NULL")
+    images = rows.filter("quality IS NOT NULL").groupBy("image_id").agg(F.max("quality").alias("q"), (F.count("*") % 3 + 1).cast("int").alias("n"))
+    found = images.select("image_id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "q").select("image_id", F.when(F.col("i") == 1, F.col("q")).otherwise(0.7).cast("float").alias("score"), F.array(F.lit(1.0).cast("float")).alias("vector"))
+    failed = images.filter(F.length("image_id") % 5 == 0)
+    old = rows.filter("model = 'face-b'").groupBy("image_id").agg(F.first("vector").alias("vector"))
+    state, vectors_after = reports.ingested(images, old, found, failed, 0.6)
+    return reports.with_flag(state, vectors_after, "image_id", "has_vector").select("image_id", "status", "has_vector")
+
+
+@plan(
+    f"""WITH c AS (SELECT DISTINCT person_id FROM scene_people WHERE person_id <> ''), v AS (SELECT DISTINCT person_id FROM face_vectors WHERE model = 'face-b'), l AS (SELECT DISTINCT person_id FROM face_vectors WHERE quality > 0.9),
+        i AS (SELECT DISTINCT person_id, image_id FROM face_vectors WHERE image_id IS NOT NULL), p AS (SELECT person_id FROM c ANTI JOIN v USING (person_id) ANTI JOIN l USING (person_id)),
+        n AS (SELECT person_id, image_id, row_number() OVER (PARTITION BY person_id ORDER BY image_id) - 1 AS i, count(*) OVER (PARTITION BY person_id) AS n FROM i SEMI JOIN p USING (person_id))
+        SELECT person_id, image_id FROM n WHERE n <= 2 OR i IN (0, n - 1)"""
+)
+def wanted_references_u11(spark, folder):
+    """Two portraits at most of people of the cast without a vector and without listed portraits."""
+    rows = table(spark, folder, "face_vectors")
+    cast = table(spark, folder, "scene_people").filter("person_id <> ''")
+    images = rows.filter("image_id IS NOT NULL").select("person_id", "image_id").distinct().withColumn("place", F.lit(0))
+    return reports.wanted_references(cast, rows.filter("model = 'face-b'"), images, rows.filter("quality > 0.9"), 2).select("person_id", "image_id")
 
 
 @plan("SELECT DISTINCT vector_id, image_id IN (SELECT image_id FROM face_vectors WHERE person_id <> '' AND image_id IS NOT NULL) AS has_vector FROM face_vectors WHERE image_id IS NOT NULL")
 def has_vector_flag_j19(spark, folder):
     rows = table(spark, folder, "face_vectors").filter("image_id IS NOT NULL")
-    owned = rows.filter("person_id <> ''").select("image_id").distinct().withColumn("owned", F.lit(True))
-    return rows.join(owned, "image_id", "left").select("vector_id", F.coalesce("owned", F.lit(False)).alias("has_vector")).distinct()
+    return reports.with_flag(rows, rows.filter("person_id <> ''"), "image_id", "has_vector").select("vector_id", "has_vector").distinct()
 
 
 #: Microseconds since 1970 of a time without a zone.
@@ -227,31 +253,56 @@ def lru_evict_ar08_st13(spark, folder):
     return intervals.kept_by_recency(blocks, "user_id", 20000).select("user_id", "event_id")
 
 
-@plan(
-    """SELECT media_id, min_by(doc_id, (coalesce(nullif(list_position(['subtitle', 'synopsis', 'review'], source), 0), 99), doc_id)) AS doc_id FROM (SELECT DISTINCT media_id, source, doc_id FROM documents WHERE media_id IS NOT NULL) GROUP BY media_id"""
-)
+_RENDITIONS = "(SELECT DISTINCT media_id, request_id AS place, list_extract(['UHD', 'FHD', 'HD', 'SD'], 1 + request_id::INT % 4) AS kind, CASE WHEN request_id % 3 = 0 THEN ' Finished' ELSE 'running' END AS state, drive_id FROM requests)"
+
+
+@plan(f"SELECT drive_id, arg_min(place, (coalesce(nullif(list_position(['FHD', 'HD'], kind), 0), 3), place)) AS place FROM {_RENDITIONS} WHERE lower(trim(state)) = 'finished' AND drive_id IS NOT NULL GROUP BY drive_id")
 def preferred_rendition_j27(spark, folder):
-    at = F.array_position(F.array(F.lit("subtitle"), F.lit("synopsis"), F.lit("review")), F.col("source"))
-    rank = F.when(at > 0, at).otherwise(99)
-    return table(spark, folder, "documents").filter("media_id IS NOT NULL").groupBy("media_id").agg(F.min_by("doc_id", F.struct(rank, "doc_id")).alias("doc_id"))
+    """Of each drive the finished rendition that is preferred, else the first finished one."""
+    n = F.col("request_id")
+    rows = table(spark, folder, "requests").filter("drive_id IS NOT NULL").select(
+        "drive_id", n.alias("place"), F.get(F.array(*map(F.lit, ("UHD", "FHD", "HD", "SD"))), (n % 4).cast("int")).alias("kind"), F.when(n % 3 == 0, " Finished").otherwise("running").alias("state")
+    )
+    return reports.preferred(rows, "drive_id", "kind", ["FHD", "HD"], "place", F.lower(F.trim("state")) == "finished").select("drive_id", "place")
+
 
+_FRAMES = "(SELECT media_id, start_sec, CASE WHEN floor(start_sec)::BIGINT % 3 = 0 THEN 'keyframe' ELSE 'seek' END AS method, preview IS NULL AS failed FROM scene_results)"
 
-@plan("SELECT source, count(*) AS documents, count(text) AS with_text, count(*) - count(text) AS failures FROM documents GROUP BY source")
+
+@plan(
+    f"""WITH k AS (SELECT media_id, method, count(*) AS frames FROM {_FRAMES} WHERE NOT failed GROUP BY ALL), f AS (SELECT media_id, count(*) FILTER (failed) AS failures FROM {_FRAMES} GROUP BY 1)
+        SELECT media_id, method, coalesce(frames, 0) AS frames, failures FROM f LEFT JOIN k USING (media_id)"""
+)
 def extraction_summary_ag12(spark, folder):
-    rows = table(spark, folder, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count("text").alias("with_text"))
-    return rows.withColumn("failures", F.col("documents") - F.col("with_text"))
+    """Frames of scenes by the method they were taken with; a frame without preview has failed."""
+    method = F.when(F.floor("start_sec") % 3 == 0, "keyframe").otherwise("seek")
+    frames = table(spark, folder, "scene_results").select("media_id", method.alias("method"), F.when(F.col("preview").isNull(), "no preview").alias("error"))
+    return reports.extraction_summary(frames, "media_id")
 
 
-@plan("SELECT media_id, count(DISTINCT scene_id) AS scenes, min(start_sec) AS first_start, max(end_sec) AS last_end FROM scene_results GROUP BY media_id")
+@plan("SELECT user_id, count(*) AS keyframes, arg_min(event_id * 100, event_id) AS first_offset, arg_max(event_id * 100 + event_id % 50, event_id) AS last_end FROM events GROUP BY user_id")
 def index_summary_ag13(spark, folder):
-    return table(spark, folder, "scene_results").groupBy("media_id").agg(F.countDistinct("scene_id").alias("scenes"), F.min("start_sec").alias("first_start"), F.max("end_sec").alias("last_end"))
+    """Events of a user as key frames of a file."""
+    rows = table(spark, folder, "events").select("user_id", F.col("event_id").alias("number"), (F.col("event_id") * 100).alias("offset"), (F.col("event_id") % 50).alias("size"))
+    return reports.index_summary(rows, "user_id")
 
 
-@plan("SELECT media_id, count(*) AS requests, sum(n)::BIGINT AS bytes, round(CASE WHEN max(s) > 0 THEN sum(n) / max(s) ELSE 0 END, 9) AS ratio FROM (SELECT DISTINCT media_id, coalesce(size_bytes, 0) AS s, coalesce(size_bytes, 0) // 10 AS n FROM videos) GROUP BY media_id")
+@plan(
+    """WITH f AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN 0 ELSE c_custkey * 50 END AS size FROM customer), r AS (SELECT user_id, count(*) AS requests, sum(event_id % 7 * 100)::BIGINT AS bytes, count(DISTINCT event_id % 8) AS blocks FROM events GROUP BY 1)
+       SELECT f.user_id, coalesce(requests, 0) AS requests, coalesce(bytes, 0) AS bytes, coalesce(blocks, 0) AS blocks, round(CASE WHEN size > 0 THEN coalesce(bytes, 0) / size ELSE 0 END, 9) AS download_ratio FROM f LEFT JOIN r USING (user_id)"""
+)
 def range_stats_ag14(spark, folder):
-    rows = table(spark, folder, "videos").select("media_id", F.coalesce("size_bytes", F.lit(0)).alias("size")).distinct().withColumn("n", F.floor(F.col("size") / 10))
-    stats = rows.groupBy("media_id").agg(F.count("*").alias("requests"), F.sum("n").alias("bytes"), F.max("size").alias("size"))
-    return stats.select("media_id", "requests", "bytes", F.round(F.when(F.col("size") > 0, F.col("bytes") / F.col("size")).otherwise(0.0), 9).alias("ratio"))
+    """Events of a user as range requests for a file of that user; some files are empty, some were never asked."""
+    n = F.col("c_custkey")
+    sizes = table(spark, folder, "customer").select(n.alias("user_id"), F.when(n % 10 == 0, 0).otherwise(n * 50).alias("size"))
+    asked = table(spark, folder, "events").select("user_id", (F.col("event_id") % 7 * 100).alias("bytes"), (F.col("event_id") % 8).alias("block"))
+    return reports.range_stats(asked, sizes, "user_id").withColumn("download_ratio", F.round("download_ratio", 9))
+
+
+@plan("SELECT preview FROM (SELECT trim(preview) AS preview, min((search_id, media_id, scene_id)) AS place FROM scene_results WHERE trim(preview) <> '' GROUP BY 1) ORDER BY place, preview LIMIT 32")
+def first_distinct_x16(spark, folder):
+    """The first 32 different previews in the order of the index, as a comparison of profiles samples them."""
+    return reports.first_distinct(table(spark, folder, "scene_results"), "preview", ["search_id", "media_id", "scene_id"], 32)
 
 
 @plan(

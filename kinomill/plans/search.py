@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from kinomill.functions import vectors
-from kinomill.operators import search
+from kinomill.operators import reports, search
 from kinomill.operators.search import SearchRequest
 from kinomill.plans.registry import Registry
 from kinomill.tables import table
@@ -169,15 +169,19 @@ def stats_p34_ag03(spark, folder):
     return counts[0].unionAll(counts[1]).unionAll(counts[2]).agg(*(F.max(F.when(F.col("what") == label, F.col("n"))).alias(label) for _, _, label in counted))
 
 
+_COARSE = "(SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 1)) AS b FROM embeddings)"
+
+
 @plan(
-    f"""SELECT count(*)::INT AS pairs, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most, min(score) >= 0.995 AS same FROM (
-        SELECT CAST(score AS DOUBLE) AS score FROM {SCORED})"""
+    f"""WITH s AS (SELECT list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i])) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x)))) AS s FROM {_COARSE})
+        SELECT count(*) AS samples, round(avg(s), 6) AS cosine_mean, round(min(s), 6) AS cosine_min, round(max(s), 6) AS cosine_max, round(1 - avg(s), 6) AS drift_mean, round(1 - min(s), 6) AS drift_max, CASE WHEN min(s) >= 0.995 THEN 'compressed' ELSE 'original' END AS recommendation FROM s"""
 )
 def vector_drift_ag15(spark, folder):
-    query = F.lit([float(x) for x in _first(spark, folder)]).cast("array<float>")
-    rows = table(spark, folder, "embeddings").select(vectors.cosine(F.col("embedding"), query).cast("double").alias("s"))
-    least = F.min("s")
-    return rows.agg(F.count("*").cast("int").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(least, 6).alias("least"), F.round(F.max("s"), 6).alias("most"), (least >= 0.995).alias("same"))
+    """Each vector beside its coarse form, which is what another profile would give."""
+    original = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    coarse = original.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 1)).alias("coarse"))
+    report = reports.drift_report(original.join(coarse, "vec_id"), "embedding", "coarse")
+    return report.select(*(F.round(c, 6).alias(c) if c.startswith(("cosine", "drift")) else c for c in report.columns))
 
 
 @plan()

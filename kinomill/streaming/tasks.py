@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kinomill.lineage import scratch_path
-from kinomill.operators.tasks import latest_states
+from kinomill.lineage import exists, scratch_path
+from kinomill.operators.index import replace_table
+from kinomill.operators.tasks import checked_commands, latest_states
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_at_once: int = 100) -> DataFrame:
@@ -77,6 +78,35 @@ def progress_of_stream(events: DataFrame, key: str, order: str, percent: str, st
     return latest_states(results, key, ["number"]).drop("number")
 
 
+def kept_snapshot(events: DataFrame, path: str, key: str, order: list[str], every: str | None = None) -> None:
+    """Keeps the latest state of each key in the table ``path`` while events come.
+
+    With ``every`` (as ``500 milliseconds``) a batch is written that often at most and
+    the stream goes on; without it what is there is handled and the stream ends.  The
+    table is replaced whole, as a snapshot is, after each batch.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema(events.schema).parquet(path).unionByName(batch) if exists(spark, path) else batch
+        replace_table(latest_states(known, key, order), path)
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch_path(spark, 'snapshot')}-state")
+    if every:
+        writer.trigger(processingTime=every).start()
+    else:
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def checked_stream(commands: DataFrame, media: DataFrame) -> DataFrame:
+    """Commands that came as a stream, each checked against the media as they are when its batch is handled."""
+    spark = commands.sparkSession
+    path = scratch_path(spark, "commands")
+    checked = checked_commands(commands, media)
+    checked.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(checked.schema).parquet(path)
+
+
 def first_seen_of_stream(rows: DataFrame, fingerprint: str, time: str, delay: str) -> DataFrame:
     """Rows whose fingerprint did not come before within ``delay``; the state of older fingerprints is dropped."""
     spark = rows.sparkSession
