@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinomill.functions import byteranges
 from kinomill.operators import credits, resolve
+from kinomill.plans import blobs
 from kinomill.plans.catalog import TITLES, _alternates, _titles
 from kinomill.plans.registry import Registry
 from kinomill.sources import containers, files
@@ -81,6 +82,38 @@ def probe_io22(spark, folder):
     return rows.select("media_id", containers.probed(probe).alias("p")).select("media_id", "p.duration", "p.codec")
 
 
+def _contents(spark, folder):
+    """Five files, of which a video has one by the length of its name; the last is none."""
+    rows = table(spark, folder, "videos").select("media_id", (F.length("video_name") % 5).alias("n")).distinct()
+    kinds = [blobs.mp4((1, 4)), blobs.mp4(None), blobs.matroska(False), blobs.matroska(True), b"no container"]
+    return rows.withColumn("content", F.get(F.array(*(F.lit(bytearray(k)) for k in kinds)), F.col("n")))
+
+
+_VIDEOS = "(SELECT DISTINCT media_id, length(video_name) % 5 AS n FROM videos)"
+
+
+@plan(
+    f"""SELECT media_id, number::INT AS number, seconds::DOUBLE AS seconds, byte::BIGINT AS "offset", size::BIGINT AS size FROM {_VIDEOS} JOIN (VALUES (0, 1, 0.0, 600, 40), (0, 2, 4.5, 9000, 10),
+          (1, 1, 0.0, 600, 40), (1, 2, 1.5, 640, 30), (1, 3, 3.0, 670, 20), (1, 4, 4.5, 9000, 10), (2, 1, 0.0, 139, 5), (2, 2, 5.0, 169, 7), (3, 1, 0.0, 165, 5), (3, 2, 5.0, 195, 7)) AS e(n, number, seconds, byte, size) USING (n)"""
+)
+def entry_pictures_io23_io26_x06(spark, folder):
+    """Where the entry pictures of MP4 and Matroska files lie, laced blocks, groups and cues without a place among them."""
+    rows = _contents(spark, folder).select("media_id", F.posexplode(containers.entry_pictures(F.col("content"))).alias("i", "k"))
+    return rows.select("media_id", (F.col("i") + 1).alias("number"), "k.seconds", "k.offset", "k.size")
+
+
+@plan(
+    f"""SELECT media_id, (CASE WHEN n IN (2, 3) THEN 2 ELSE 0 END)::INT AS tracks, CASE WHEN n IN (2, 3) THEN 'V_TEST 640x360' END AS video, (CASE WHEN n IN (2, 3) THEN 7.5 ELSE 0 END)::DOUBLE AS seconds, (CASE WHEN n IN (2, 3) THEN 2 ELSE 0 END)::INT AS cues FROM {_VIDEOS}"""
+)
+def matroska_index_io25_f46(spark, folder):
+    """Tracks, cues and the duration, a floating point number, of Matroska files; other files have none."""
+    rows = _contents(spark, folder)
+    tracks = containers.tracks(F.col("content"))
+    video = F.get(F.filter(tracks, lambda t: t["kind"] == 1), F.lit(0))
+    name = F.when(video.isNotNull(), F.concat(video["codec"], F.lit(" "), video["width"].cast("string"), F.lit("x"), video["height"].cast("string")))
+    return rows.select("media_id", F.size(tracks).alias("tracks"), name.alias("video"), containers.seconds(F.col("content")).alias("seconds"), F.size(containers.cue_points(F.col("content"))).alias("cues"))
+
+
 @plan("SELECT media_id, scenes, first_start FROM (SELECT media_id, count(*) AS scenes, min(start_sec) AS first_start, bool_and(start_sec * 100 + 10 <= 100000) AS ok FROM (SELECT DISTINCT media_id, start_sec FROM scene_results) GROUP BY media_id) WHERE ok")
 def sound_index_io28(spark, folder):
     starts = table(spark, folder, "scene_results").select("media_id", "start_sec").distinct()

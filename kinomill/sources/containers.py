@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Element ids of the EBML container.
+EBML = b"\x1a\x45\xdf\xa3"
+SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_KIND, CODEC, PICTURE, WIDTH, HEIGHT = 0x1654AE6B, 0xAE, 0xD7, 0x83, 0x86, 0xE0, 0xB0, 0xBA
+CLUSTER_BODY, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE, DURATION = 0x1F43B675, 0xA3, 0xA0, 0xA1, 0xFB, 0x4489
 SEGMENT, INFO, SCALE, CUES, CUE, CUE_TIME, POSITIONS, TRACK, CLUSTER, RELATIVE = 0x18538067, 0x1549A966, 0x2AD7B1, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1, 0xF0
 NANOSECONDS_OF_A_TICK = 1_000_000
+#: Bytes of a cluster in which an entry picture is looked for.
+CLUSTER_SCAN = 8 * 1024 * 1024
 
 
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
@@ -128,28 +134,143 @@ class _Cue:
 
 def matroska_cues(data: bytes) -> list[dict]:
     """A row for each position of each cue: seconds, track, cluster and the place in it (None if absent); cues without a time drop out."""
-    scale, cues = NANOSECONDS_OF_A_TICK, []
+    _, parts = _level_one(data)
+    cues = []
     number = lambda a, b: int.from_bytes(data[a:b], "big")
+    scale = next((number(x, y) for k, x, y in elements(data, *parts.get(INFO, (0, 0))) if k == SCALE), 0) or NANOSECONDS_OF_A_TICK
+    for kind, x, y in elements(data, *parts.get(CUES, (0, 0))):
+        if kind != CUE:
+            continue
+        cue = _Cue()
+        for k, p, q in elements(data, x, y):
+            if k == CUE_TIME:
+                cue.time = number(p, q)
+            elif k == POSITIONS:
+                values = {m: number(r, s) for m, r, s in elements(data, p, q)}
+                cue.places.append({"track": values.get(TRACK, 0), "cluster": values.get(CLUSTER, 0), "relative": values.get(RELATIVE)})
+        if cue.time is not None:
+            cues += [(cue.time, place) for place in cue.places]
+    return [{"seconds": t * scale / 1e9, **place} for t, place in cues]
+
+
+def float_number(data: bytes, start: int, end: int) -> float:
+    """A number of 4 or 8 bytes in floating point; 0 for none. Raises ValueError for any other length."""
+    if end - start not in (0, 4, 8):
+        raise ValueError("no floating point number")
+    return struct.unpack({0: "", 4: ">f", 8: ">d"}[end - start], data[start:end])[0] if end > start else 0.0
+
+
+def _level_one(data: bytes) -> tuple[int, dict[int, tuple[int, int]]]:
+    """Where the body of the segment begins, and the span of the first of each of its parts: those that its seek head names are looked up, others are met by walking."""
     for name, a, b in elements(data, 0, len(data)):
         if name != SEGMENT:
             continue
+        parts: dict[int, tuple[int, int]] = {}
         for part, c, d in elements(data, a, b):
-            if part == INFO:
-                scale = next((number(x, y) for k, x, y in elements(data, c, d) if k == SCALE), scale) or NANOSECONDS_OF_A_TICK
-            elif part == CUES:
-                for kind, x, y in elements(data, c, d):
-                    if kind != CUE:
-                        continue
-                    cue = _Cue()
-                    for k, p, q in elements(data, x, y):
-                        if k == CUE_TIME:
-                            cue.time = number(p, q)
-                        elif k == POSITIONS:
-                            values = {m: number(r, s) for m, r, s in elements(data, p, q)}
-                            cue.places.append({"track": values.get(TRACK, 0), "cluster": values.get(CLUSTER, 0), "relative": values.get(RELATIVE)})
-                    if cue.time is not None:
-                        cues += [(cue.time, place) for place in cue.places]
-    return [{"seconds": t * scale / 1e9, **place} for t, place in cues]
+            if part == CLUSTER_BODY:
+                break
+            parts.setdefault(part, (c, d))
+        for kind, c, d in elements(data, *parts.get(SEEK_HEAD, (0, 0))):
+            if kind != SEEK:
+                continue
+            entry = {k: int.from_bytes(data[x:y], "big") for k, x, y in elements(data, c, d)}
+            at = a + entry.get(SEEK_POSITION, len(data))
+            found = next(elements(data, at, b), None) if at < b else None
+            if found and found[0] == entry.get(SEEK_ID):
+                parts.setdefault(found[0], found[1:])
+        if not {INFO, TRACKS, CUES} <= parts.keys():  # the seek head does not say, so all of the segment is walked
+            for part, c, d in elements(data, a, b):
+                parts.setdefault(part, (c, d))
+        return a, parts
+    return 0, {}
+
+
+def matroska_tracks(data: bytes) -> list[dict]:
+    """Number, type (1 is video), codec and picture size of each track."""
+    _, parts = _level_one(data)
+    found = []
+    for kind, a, b in elements(data, *parts.get(TRACKS, (0, 0))):
+        if kind == TRACK_ENTRY:
+            spans = {k: (x, y) for k, x, y in elements(data, a, b)}
+            number = lambda k, spans=spans: int.from_bytes(data[slice(*spans.get(k, (0, 0)))], "big")
+            picture = {k: int.from_bytes(data[x:y], "big") for k, x, y in elements(data, *spans.get(PICTURE, (0, 0)))}
+            codec = data[slice(*spans.get(CODEC, (0, 0)))].rstrip(b"\0").decode("ascii", "replace")
+            found.append({"number": number(TRACK_NUMBER), "kind": number(TRACK_KIND), "codec": codec, "width": picture.get(WIDTH, 0), "height": picture.get(HEIGHT, 0)})
+    return found
+
+
+def matroska_seconds(data: bytes) -> float:
+    """The duration of the segment in seconds; 0 if it is not given."""
+    _, parts = _level_one(data)
+    info = {k: (x, y) for k, x, y in elements(data, *parts.get(INFO, (0, 0)))}
+    scale = int.from_bytes(data[slice(*info.get(SCALE, (0, 0)))], "big") or NANOSECONDS_OF_A_TICK
+    return float_number(data, *info.get(DURATION, (0, 0))) * scale / 1e9
+
+
+def _block(data: bytes, start: int, end: int) -> tuple[int, int, int, int] | None:
+    """Track, flags, and the bytes of the first picture of a block; None if it is cut off."""
+    try:
+        track, at = variable_number(data, start, False)
+        flags, at = data[at + 2], at + 3
+        lacing = flags & 0x06
+        if not lacing:
+            return track or 0, flags, at, end
+        frames, at = data[at] + 1, at + 1
+        if lacing == 0x04:  # all of one size
+            return track or 0, flags, at, at + (end - at) // frames
+        if lacing == 0x06:  # the first size, then differences
+            size = end - at
+            for i in range(frames - 1):
+                value, at = variable_number(data, at, False)
+                size = value or 0 if i == 0 else size
+        else:  # sizes as sums of bytes up to one that is not full
+            sizes = []
+            for _ in range(frames - 1):
+                size = 0
+                while data[at] == 255:
+                    size, at = size + 255, at + 1
+                sizes.append(size + data[at])
+                at += 1
+            size = sizes[0] if sizes else end - at
+        return (track or 0, flags, at, at + (size if frames > 1 else end - at)) if at < end else None
+    except (ValueError, IndexError):
+        return None
+
+
+def _entry_block(data: bytes, kind: int, start: int, end: int, track: int) -> tuple[int, int] | None:
+    """The bytes of the first picture of a block of ``track`` that can be entered: a simple block that says so, or a group that refers to no other."""
+    if kind == SIMPLE_BLOCK:
+        block = _block(data, start, end)
+        return block[2:] if block and block[0] == track and block[1] & 0x80 else None
+    if kind == BLOCK_GROUP:
+        inside = {k: (x, y) for k, x, y in elements(data, start, end)}
+        block = _block(data, *inside[BLOCK]) if BLOCK in inside and REFERENCE not in inside else None
+        return block[2:] if block and block[0] == track else None
+    return None
+
+
+def matroska_keyframes(data: bytes) -> list[dict]:
+    """Entry pictures of the first video track by its cues, in order of time: number from 1, seconds, offset and size of the bytes.
+
+    A cue with a place in its cluster names the block; of one without, the first block
+    of the track that can be entered counts, within :data:`CLUSTER_SCAN` bytes.  Cues
+    that lead to no such block drop out.
+    """
+    video = min((t["number"] for t in matroska_tracks(data) if t["kind"] == 1), default=None)
+    begin, _ = _level_one(data)
+    found = []
+    for cue in sorted((c for c in matroska_cues(data) if c["track"] in (0, video)), key=lambda c: c["seconds"]):
+        head = next(elements(data, begin + cue["cluster"], len(data)), None)
+        if video is None or head is None or head[0] != CLUSTER_BODY:
+            continue
+        _, start, stop = head
+        first = start + (cue["relative"] or 0)
+        near = elements(data, first, min(stop, first + CLUSTER_SCAN))
+        blocks = (_entry_block(data, kind, a, b, video) for kind, a, b in ([next(near, (0, 0, 0))] if cue["relative"] is not None else near))
+        place = next((b for b in blocks if b), None)
+        if place and place[1] > place[0]:
+            found.append({"number": len(found) + 1, "seconds": cue["seconds"], "offset": place[0], "size": place[1] - place[0]})
+    return found
 
 
 def _apply(read, schema: str, content: Column) -> Column:
@@ -163,6 +284,31 @@ def keyframes(content: Column) -> Column:
     return _apply(mp4_keyframes, "number int, seconds double, offset bigint, size bigint", content)
 
 
+def entry_pictures(content: Column) -> Column:
+    """Entry pictures of an MP4 or a Matroska file, as its first bytes say; none of any other."""
+
+    def read(data: bytes) -> list[dict]:
+        return mp4_keyframes(data) if data[4:8] == b"ftyp" else matroska_keyframes(data) if data[:4] == EBML else []
+
+    return _apply(read, "number int, seconds double, offset bigint, size bigint", content)
+
+
+def tracks(content: Column) -> Column:
+    return _apply(matroska_tracks, "number int, kind int, codec string, width int, height int", content)
+
+
+def seconds(content: Column) -> Column:
+    """The duration of a Matroska file; null for bytes that cannot be read."""
+
+    def read(data: bytes) -> list[dict]:
+        try:
+            return [{"seconds": matroska_seconds(data)}]
+        except ValueError:
+            return []
+
+    return F.get(_apply(read, "seconds double", content), F.lit(0))["seconds"]
+
+
 def cue_points(content: Column) -> Column:
     return _apply(matroska_cues, "seconds double, track bigint, cluster bigint, relative bigint", content)
 

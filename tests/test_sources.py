@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinomill.operators import catalog, credits, resolve
+from kinomill.plans import blobs
 from kinomill.sources import containers, files, snapshots
 
 
@@ -107,3 +108,22 @@ def test_resolution_tiers(spark):
     assert got == {"m1": ("t3", 1), "m2": ("tt52", 2), "m3": ("t3", 2), "m4": ("tt52", 3)}
     scenes = spark.createDataFrame([("m1",)], "media_id string")
     assert [r["title_id"] for r in resolve.processed_titles(media, scenes, titles, akas).collect()] == ["t3"]
+
+
+def test_matroska_blocks():
+    for seek in (False, True):
+        data = blobs.matroska(seek)
+        assert [(k["seconds"], data[k["offset"] : k["offset"] + k["size"]]) for k in containers.matroska_keyframes(data)] == [(0.0, b"ABCDE"), (5.0, b"picture")]
+        assert containers.matroska_seconds(data) == 7.5
+        assert [(t["number"], t["kind"], t["codec"]) for t in containers.matroska_tracks(data)] == [(1, 2, "A_AAC"), (2, 1, "V_TEST")]
+        for end in range(len(data)):  # cut off anywhere, nothing breaks
+            containers.matroska_keyframes(data[:end])
+    frames = lambda lacing, body: containers._block(bytes([0x81, 0, 0, 0x80 | lacing]) + body, 0, 4 + len(body))
+    assert frames(0x00, b"abc") == (1, 0x80, 4, 7)
+    assert frames(0x04, bytes([2]) + b"aabbcc")[2:] == (5, 7)
+    assert frames(0x06, bytes([2, 0x83, 0xC0]) + b"aaabbcccc")[2:] == (7, 10)
+    assert frames(0x02, bytes([1, 255, 1]) + b"a" * 256 + b"b")[2:] == (7, 263)
+    assert frames(0x02, b"") is None
+    assert containers.float_number(b"", 0, 0) == 0.0 and containers.float_number(b"\x3f\x80\0\0", 0, 4) == 1.0
+    with pytest.raises(ValueError):
+        containers.float_number(b"abc", 0, 3)
