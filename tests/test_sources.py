@@ -105,7 +105,13 @@ def test_resolution_tiers(spark):
     rows = [("m1", "t3", "x", "", None), ("m2", "", "Bruno", "", None), ("m3", "", "The.Weight.of.Lanterns.2014.1080p.mkv", "", None), ("m4", "", "bruno across the river", "", None), ("m5", "", "Nothing", None, None)]
     media = spark.createDataFrame([(*r, "") for r in rows], "media_id string, movie_id string, title string, original_title string, year int, remote_name string")
     got = {r["media_id"]: (r["title_id"], r["tier"]) for r in resolve.resolve(media, titles, akas).collect()}
-    assert got == {"m1": ("t3", 1), "m2": ("tt52", 2), "m3": ("t3", 2), "m4": ("tt52", 3)}
+    assert got == {"m1": ("t3", 1), "m2": ("tt52", 2), "m3": ("t3", 2), "m4": ("tt61", 4)}
+    # any word brings in its titles, a rarer one that leads elsewhere does not hide them; the year decides first
+    more = spark.createDataFrame([("w1", "Weight", "", 1999), ("w2", "Lanterns over Zurich", "", 2014), ("w3", "Zurich", "", 2014)], "title_id string, title string, original_title string, year int")
+    rows = [("m6", "", "Weight of Zurich Lanterns", "", 2014, ""), ("m7", "", "my Zurich lanterns", "", None, "")]
+    media2 = spark.createDataFrame(rows, "media_id string, movie_id string, title string, original_title string, year int, remote_name string")
+    got = {r["media_id"]: (r["title_id"], r["tier"]) for r in resolve.resolve(media2, titles.unionByName(more), akas).collect()}
+    assert got["m6"][1] == 3 and got["m6"][0] in ("w2", "w3", "t3") and got["m7"][1] == 5
     scenes = spark.createDataFrame([("m1",)], "media_id string")
     assert [r["title_id"] for r in resolve.processed_titles(media, scenes, titles, akas).collect()] == ["t3"]
 
