@@ -25,8 +25,8 @@ _ENDINGS = ("", ".3gp", ".RMVB", ".txt", ".mp4.part", ".", ".webm", ".Mpeg")
 @plan(
     f"""WITH v AS (SELECT DISTINCT media_id, video_name || list_extract({list(_ENDINGS)}, 1 + length(video_name) % 8) AS name, CASE WHEN length(video_name) % 7 = 0 THEN ' Video ' END AS category,
           CASE WHEN length(video_name) % 5 = 0 THEN ' VIDEO/x' ELSE 'text/plain' END AS mime, CASE WHEN length(video_name) % 6 = 0 THEN ' .rmvb' WHEN length(video_name) % 6 = 1 THEN '.txt' ELSE ' ' END AS ext FROM videos)
-        SELECT media_id, name, lower(regexp_extract(name, '(\.[^./]*)$', 1)) IN {_VIDEO} AS by_name,
-          coalesce(lower(trim(category)) = 'video', false) OR starts_with(lower(trim(mime)), 'video/') OR CASE WHEN trim(ext) <> '' THEN lower(trim(ext)) ELSE lower(regexp_extract(name, '(\.[^./]*)$', 1)) END IN {_VIDEO} AS video FROM v"""
+        SELECT media_id, name, lower(regexp_extract(name, '(\\.[^./]*)$', 1)) IN {_VIDEO} AS by_name,
+          coalesce(lower(trim(category)) = 'video', false) OR starts_with(lower(trim(mime)), 'video/') OR CASE WHEN trim(ext) <> '' THEN lower(trim(ext)) ELSE lower(regexp_extract(name, '(\\.[^./]*)$', 1)) END IN {_VIDEO} AS video FROM v"""
 )
 def video_names_io15_p27(spark, folder):
     n = F.length("video_name")
@@ -42,7 +42,7 @@ def video_names_io15_p27(spark, folder):
 
 
 @plan(
-    f"""SELECT problem, count(*) AS files FROM (SELECT CASE WHEN size_bytes IS NULL THEN 'missing' WHEN size_bytes <= 0 THEN 'empty' WHEN lower(regexp_extract(coalesce(video_name, ''), '(\.[^./]*)$', 1)) NOT IN {_VIDEO} THEN 'not a video' END AS problem
+    f"""SELECT problem, count(*) AS files FROM (SELECT CASE WHEN size_bytes IS NULL THEN 'missing' WHEN size_bytes <= 0 THEN 'empty' WHEN lower(regexp_extract(coalesce(video_name, ''), '(\\.[^./]*)$', 1)) NOT IN {_VIDEO} THEN 'not a video' END AS problem
         FROM (SELECT DISTINCT media_id, video_name, CASE WHEN length(video_name) % 9 = 0 THEN 0 WHEN length(video_name) % 9 = 1 THEN NULL ELSE size_bytes END AS size_bytes FROM videos)) GROUP BY problem"""
 )
 def inspected_io16(spark, folder):
