@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinomill.operators.timeline import CELLS, islands
+from kinomill.operators.timeline import CELL_ROWS, CELLS
+
+#: Blocks of usual length that a cell is wide, at least.
+BLOCKS_OF_A_CELL = 8
 
 
 def missing(requests: DataFrame, blocks: DataFrame, key: str, width: float | None = None) -> DataFrame:
@@ -14,11 +17,15 @@ def missing(requests: DataFrame, blocks: DataFrame, key: str, width: float | Non
     Requests and blocks are cut at the edges of cells and meet by key and cell, so neither
     all blocks of a key meet a request nor is a key one window.  In a cell the gaps lie
     between the furthest end so far and the next start; gaps that touch over an edge are
-    one.  Empty blocks cover nothing.
+    one; the gaps of a request, not the blocks, are one window.  Empty blocks cover nothing.
     """
     ends = requests.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
     low, high = (0, 0) if ends["low"] is None else (ends["low"], ends["high"])
-    size = F.lit((high - low) // CELLS + 1 if width is None else width)
+    if width is None:
+        held = blocks.agg(F.count("*").alias("rows"), F.avg(F.col("end") - F.col("start")).alias("length")).first()
+        # wide enough that few blocks lie in more than one cell
+        width = max(int(BLOCKS_OF_A_CELL * (held["length"] or 0)), (high - low) // max(CELLS, held["rows"] // CELL_ROWS)) + 1
+    size = F.lit(width)
 
     def cut(rows: DataFrame, low: str, high: str) -> DataFrame:
         cells = F.sequence(F.floor(F.col(low) / size), F.greatest(F.floor(F.col(low) / size), F.ceil(F.col(high) / size) - 1))
@@ -31,8 +38,11 @@ def missing(requests: DataFrame, blocks: DataFrame, key: str, width: float | Non
     ends = asked.select(key, "request", "_cell", "_a", F.col("_b").alias("s"), F.col("_b").alias("e"))
     before = Window.partitionBy(key, "request", "_cell").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("e").over(before), F.col("_a"))
-    gaps = clipped.unionAll(ends).withColumn("start", reached).filter(F.col("start") < F.col("s")).select(F.struct(key, "request").alias("_r"), "start", F.col("s").alias("end"))
-    return islands(gaps, "_r", 0).select(F.col(f"_r.{key}").alias(key), F.col("_r.request").alias("request"), "start", "end")
+    gaps = clipped.unionAll(ends).withColumn("start", reached).filter(F.col("start") < F.col("s")).select(key, "request", "start", F.col("s").alias("end"))
+    in_order = Window.partitionBy(key, "request").orderBy("start")
+    new = F.when(F.lag("end").over(in_order).eqNullSafe(F.col("start")), 0).otherwise(1)
+    numbered = gaps.withColumn("_new", new).withColumn("_gap", F.sum("_new").over(in_order))
+    return numbered.groupBy(key, "request", "_gap").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_gap")
 
 
 def covered(requests: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

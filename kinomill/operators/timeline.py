@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Cells into which the times of a table are cut, so that a key of many rows is no single window.
-CELLS = 1024
+#: Cells into which the times of a table are cut at least, and rows of a table for each of them: so that a key of many rows is no single window.
+CELLS, CELL_ROWS = 16, 1_000_000
 
 
-def cell_width(rows: DataFrame, time: str, cells: int = CELLS) -> float:
-    """The width of so many cells over all times of ``rows``; 1 if there is but one time."""
-    ends = rows.agg((F.max(time).cast("double") - F.min(time).cast("double")).alias("span")).first()
-    return (ends["span"] or 0.0) / cells or 1.0
+def cell_width(rows: DataFrame, time: str) -> float:
+    """The width of cells over all times of ``rows``, more cells the more rows there are; 1 if there is but one time."""
+    ends = rows.agg((F.max(time).cast("double") - F.min(time).cast("double")).alias("span"), F.count("*").alias("rows")).first()
+    return (ends["span"] or 0.0) / max(CELLS, ends["rows"] // CELL_ROWS) or 1.0
 
 
 def _before(cells: DataFrame, key: str, value: Column) -> DataFrame:
