@@ -42,7 +42,6 @@ class Field:
     name: str
     cast: Callable[[Column], Column]
     check: Callable[[Column], Column] | None = None
-    python_check: bool = False
 
 
 @dataclass(frozen=True)
@@ -140,7 +139,7 @@ TITLE_PRINCIPALS = LineSpec(
         Field(3, "name_id", _text, _matches("nm[0-9]+")),
         Field(4, "category", _text),
         Field(5, "job", _text),
-        Field(6, "characters", lambda v: F.from_json(_text(v), "array<string>"), _json_names_reasons, True),
+        Field(6, "characters", lambda v: F.from_json(_text(v), "array<string>"), _json_names_reasons),
     ),
 )
 
@@ -166,16 +165,12 @@ def reject_lines(df: DataFrame, spec: LineSpec, key: str = "line_no", line: str
     cell = F.array(*(F.struct(F.lit(f.position).alias("position"), F.get("fields", F.lit(f.position - 1)).alias("value")) for f in checked))
     cells = rows.filter(F.size("fields") == spec.width).select("key", F.inline(cell))
 
-    distinct = cells.groupBy("position", "value").agg(F.count("*").alias("uses"))
+    # each different value of a column is tried once, all columns in one pass; a check sees null in place of values of other columns
     verdict = F.lit(None).cast("string")
     for f in checked:
-        if not f.python_check:
-            verdict = F.when(F.col("position") == f.position, f.check(F.col("value"))).otherwise(verdict)
-    slow = [f.position for f in checked if f.python_check]
-    invalid = distinct.filter(~F.col("position").isin(slow)).select("position", "value", verdict.alias("reason"))
-    for f in checked:
-        if f.python_check:
-            invalid = invalid.unionByName(distinct.filter(F.col("position") == f.position).select("position", "value", f.check(F.col("value")).alias("reason")))
+        here = F.col("position") == f.position
+        verdict = F.when(here, f.check(F.when(here, F.col("value")))).otherwise(verdict)
+    invalid = cells.distinct().select("position", "value", verdict.alias("reason"))
     invalid = invalid.filter("reason IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     salted = cells.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
