@@ -87,7 +87,7 @@ _PERSONS = f"""(SELECT name_id AS id, CASE WHEN n % 2 = 0 THEN ' ' || name_id EL
 
 
 def _persons(spark, folder):
-    n = F.expr("substr(name_id, 3)").cast("bigint")
+    n = F.expr("substr(name_id, 3)").try_cast("bigint")  # conditions on it can be evaluated before the filter
     rows = _cast(spark, folder).filter(F.col("name_id").rlike(r"\Anm[0-9]+\z")).select(F.col("name_id").alias("id"), n.alias("n")).distinct()
     imdb = F.when(F.col("n") % 2 == 0, F.concat(F.lit(" "), "id")).otherwise("")
     return rows.withColumns({"imdb_id": imdb, "tmdb_id": F.when(F.col("n") % 3 == 0, F.col("n")).otherwise(0), "name": F.concat(F.lit("person "), (F.col("n") % 40).cast("string"))})

@@ -50,3 +50,13 @@ def test_tiers_of_people_with_empty_tables(spark):
     assert {(r["id"], r["canonical"]) for r in identity.person_ids(rows(spark, [("person:tmdb:8",), ("person:tmdb:77",), ("person:tmdb:99999999999999",), ("p5",)], "id string"), people).collect()} == {
         ("person:tmdb:8", "p8"), ("person:tmdb:77", "person:tmdb:77"), ("person:tmdb:99999999999999", "person:tmdb:99999999999999"), ("p5", "p5"),
     }
+
+
+@pytest.mark.parametrize(("name", "wanted"), [("person_tiers_j11", {("tt1", 2, "nm2", 3), ("tt1", 10, "nm10", 1)})])
+def test_ids_that_are_no_numbers_stop_no_query(spark, tmp_path, name, wanted):
+    import __spark_entry__
+
+    ids = ["nm2", "nm10", "nm3", "", "nm", "nm6805695x", r"\N", "6805695"]
+    lines = [(n, f"tt1\t{n}\t{i}\tactor\t\\N\t\\N") for n, i in enumerate(ids)]
+    rows(spark, lines, "line_no bigint, line string").write.parquet(f"{tmp_path}/raw_title_principals.parquet")
+    assert {tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()} == wanted
