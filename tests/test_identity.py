@@ -52,7 +52,7 @@ def test_tiers_of_people_with_empty_tables(spark):
     }
 
 
-@pytest.mark.parametrize(("name", "wanted"), [("person_tiers_j11", {("tt1", 2, "nm2", 3), ("tt1", 10, "nm10", 1)})])
+@pytest.mark.parametrize(("name", "wanted"), [("person_tiers_j11", {("tt1", 2, "nm2", 3), ("tt1", 10, "nm10", 1)}), ("image_owners_j12", {(2, "nm2")})])
 def test_ids_that_are_no_numbers_stop_no_query(spark, tmp_path, name, wanted):
     import __spark_entry__
 
