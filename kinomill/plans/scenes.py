@@ -40,6 +40,13 @@ def _cast(spark, folder):
     return table(spark, folder, "scene_people").select("media_id", "person_id").distinct()
 
 
+def _faces_and_references(spark, folder):
+    """Eligible faces of scenes, and the references of the casts of their media."""
+    found = faces.eligible_faces(_scene_faces(spark, folder))
+    cast = _cast(spark, folder).join(found.select("media_id").distinct(), "media_id", "left_semi")
+    return found, faces.first_references(_references(spark, folder)).join(cast, "person_id")
+
+
 REFS = f"(SELECT * FROM {FACES} WHERE person_id <> '' AND image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY quality DESC, vector_id) <= 10)"
 SCORES = f"""(SELECT face_id, scene_id, person_id, CAST(list_sum(s) / len(s) AS FLOAT) AS score FROM (SELECT face_id, scene_id, person_id, list(CAST(s AS DOUBLE) ORDER BY s DESC)[1:3] AS s FROM (
     SELECT f.vector_id AS face_id, f.scene_id, r.person_id, {COS.format('f.vector', 'r.vector')} AS s FROM (SELECT vector_id, scene_id, vector, quality FROM {FACES}) f JOIN (SELECT DISTINCT scene_id, media_id FROM scene_people) w USING (scene_id)
@@ -59,8 +66,7 @@ def eligible_faces_p17(spark, folder):
 
 @plan(f"SELECT face_id, scene_id, person_id, round(CAST(score AS DOUBLE), 4) AS score FROM {SCORES}")
 def top3_mean_ag05_ag06_j13(spark, folder):
-    references = faces.first_references(_references(spark, folder)).join(_cast(spark, folder), "person_id")
-    scores = faces.person_scores(faces.eligible_faces(_scene_faces(spark, folder)), references, "media_id").distinct()
+    scores = faces.person_scores(*_faces_and_references(spark, folder), "media_id")
     return scores.select("face_id", "scene_id", "person_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
@@ -69,8 +75,7 @@ def top3_mean_ag05_ag06_j13(spark, folder):
         SELECT scene_id, person_id, count(*) AS match_count, round(CAST(max(score) AS DOUBLE), 4) AS best_score FROM r WHERE n = 1 AND score >= CAST(0.3 AS FLOAT) AND score - second >= CAST(0.05 AS FLOAT) GROUP BY ALL"""
 )
 def face_match_wf03_p18_ag07_u13(spark, folder):
-    references = faces.first_references(_references(spark, folder)).join(_cast(spark, folder), "person_id")
-    scores = faces.person_scores(faces.eligible_faces(_scene_faces(spark, folder)), references, "media_id")
+    scores = faces.person_scores(*_faces_and_references(spark, folder), "media_id")
     people = faces.scene_people(faces.decided(scores, match=0.3))
     return people.select("scene_id", "person_id", "match_count", F.round(F.col("best_score").cast("double"), 4).alias("best_score"))
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,3 +227,34 @@ def test_lineage(spark):
     path = lineage.scratch_path(spark, "x")
     assert path.startswith(lineage.shared_dir(spark))
     assert lineage.cut(spark.range(5)).count() == 5
+
+
+def test_a_crowded_group_is_scored_in_blocks(spark, monkeypatch):
+    """Blocks of a few faces and people, faces of several groups, vectors of other lengths, nulls and zeros, against the plain formula."""
+    monkeypatch.setattr(faces, "FACES", 4)
+    monkeypatch.setattr(faces, "PEOPLE", 6)
+    rng = random.Random(3)
+    vector = lambda n=8: [float(np.float32(rng.gauss(0, 1))) for _ in range(n)]
+    face = [(f"f{i}", f"s{i}", "hot" if i < 20 else f"g{i % 5}", vector()) for i in range(30)] + [("f2", "s2", "g1", vector()), ("odd", "so", "hot", vector(5)), ("none", "sn", "hot", [0.0] * 8), ("null", "su", "hot", [1.0] * 7 + [None])]
+    known = [(g, f"p{p}", vector()) for g in ("hot", "g0", "g1") for p in range(9) for _ in range(p % 5 + 1)] + [("hot", "p1", vector(5)), ("hot", "p3", [0.0] * 8), ("hot", "mirror", [-x for x in face[0][3]])]
+    left = spark.createDataFrame(face, "face_id string, scene_id string, g string, embedding array<float>")
+    right = spark.createDataFrame(known, "g string, person_id string, vector array<float>")
+
+    def cosine(a, b):
+        x, y = np.array(a, np.float64), np.array(b, np.float64)
+        return max(-1.0, min(1.0, float(x @ y / np.sqrt((x @ x) * (y @ y))))) if len(a) == len(b) and x.any() and y.any() and not np.isnan(x).any() else -1.0
+
+    found = {}
+    for f, _, g, a in face:
+        for h, p, b in known:
+            if g == h:
+                found.setdefault((f, p), []).append(cosine(a, b))
+    mean = lambda s: float(np.mean(sorted((x for x in s if x > -1 + 1e-6), reverse=True)[:3] or [-1.0]))
+    wanted = {key: mean(s) for key, s in found.items()}
+    got = {(r["face_id"], r["person_id"]): r["score"] for r in faces.person_scores(left, right, "g").collect()}
+    assert got == pytest.approx(wanted, abs=1e-5)
+    first = {(r["face_id"], r["person_id"]): r["score"] for r in faces.person_scores(left, right, "g", 2).collect()}
+    assert all(got[key] == score for key, score in first.items()) and len(first) < len(got)
+    for f in {f for f, *_ in face}:
+        best = sorted((-s, p) for (x, p), s in got.items() if x == f)[:2]
+        assert all((f, p) in first for _, p in best)
