@@ -75,7 +75,7 @@ def top3_mean_ag05_ag06_j13(spark, folder):
         SELECT scene_id, person_id, count(*) AS match_count, round(CAST(max(score) AS DOUBLE), 4) AS best_score FROM r WHERE n = 1 AND score >= CAST(0.3 AS FLOAT) AND score - second >= CAST(0.05 AS FLOAT) GROUP BY ALL"""
 )
 def face_match_wf03_p18_ag07_u13(spark, folder):
-    scores = faces.person_scores(*_faces_and_references(spark, folder), "media_id")
+    scores = faces.person_scores(*_faces_and_references(spark, folder), "media_id", 2)
     people = faces.scene_people(faces.decided(scores, match=0.3))
     return people.select("scene_id", "person_id", "match_count", F.round(F.col("best_score").cast("double"), 4).alias("best_score"))
 
