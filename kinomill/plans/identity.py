@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinomill.lineage import cut
 from kinomill.operators import catalog, identity
 from kinomill.plans.catalog import _CAST, _cast
 from kinomill.plans.registry import Registry
@@ -86,9 +87,9 @@ def upsert_titles_w06_m01_m02(spark, folder):
 _PERSONS = f"""(SELECT name_id AS id, CASE WHEN n % 2 = 0 THEN ' ' || name_id ELSE '' END AS imdb_id, CASE WHEN n % 3 = 0 THEN n ELSE 0 END AS tmdb_id, 'person ' || n % 40 AS name, n FROM (SELECT DISTINCT name_id, substr(name_id, 3)::BIGINT AS n FROM {_CAST} WHERE regexp_full_match(name_id, 'nm[0-9]+')))"""
 
 
-def _persons(spark, folder):
+def _persons(spark, folder, cast=None):
     n = F.expr("substr(name_id, 3)").try_cast("bigint")  # conditions on it can be evaluated before the filter
-    rows = _cast(spark, folder).filter(F.col("name_id").rlike(r"\Anm[0-9]+\z")).select(F.col("name_id").alias("id"), n.alias("n")).distinct()
+    rows = (_cast(spark, folder) if cast is None else cast).filter(F.col("name_id").rlike(r"\Anm[0-9]+\z")).select(F.col("name_id").alias("id"), n.alias("n")).distinct()
     imdb = F.when(F.col("n") % 2 == 0, F.concat(F.lit(" "), "id")).otherwise("")
     return rows.withColumns({"imdb_id": imdb, "tmdb_id": F.when(F.col("n") % 3 == 0, F.col("n")).otherwise(0), "name": F.concat(F.lit("person "), (F.col("n") % 40).cast("string"))})
 
@@ -98,15 +99,15 @@ _TIERS = f"""k AS (SELECT * FROM {_PERSONS} WHERE trim(imdb_id) <> ''), b AS (SE
     t AS (SELECT a.*, i.id AS one, m.id AS two, b.id AS three FROM {_ASKED} a LEFT JOIN k i ON lower(trim(i.imdb_id)) = lower(a.imdb_id) LEFT JOIN k m ON m.tmdb_id = a.tmdb_id AND m.tmdb_id > 0 LEFT JOIN b ON b.title_id = a.title_id AND b.name = a.name)"""
 
 
-def _asked(spark, folder):
-    people = _persons(spark, folder)
-    rows = _cast(spark, folder).select("title_id", F.col("name_id").alias("id")).distinct().join(people, "id")
+def _asked(spark, folder, cast=None):
+    people = _persons(spark, folder, cast)
+    rows = (_cast(spark, folder) if cast is None else cast).select("title_id", F.col("name_id").alias("id")).distinct().join(people, "id")
     return rows.select("title_id", "id", "n", F.when(F.col("n") % 5 == 0, F.upper("id")).alias("imdb_id"), F.when((F.col("n") % 5).isin(1, 2), F.col("n")).alias("tmdb_id"), "name")
 
 
-def _matched(spark, folder):
-    cast = _cast(spark, folder).select("title_id", F.col("name_id").alias("person_id"))
-    return identity.canonical_people(_asked(spark, folder), _persons(spark, folder), cast)
+def _matched(spark, folder, cast=None):
+    members = (_cast(spark, folder) if cast is None else cast).select("title_id", F.col("name_id").alias("person_id"))
+    return identity.canonical_people(_asked(spark, folder, cast), _persons(spark, folder, cast), members)
 
 
 @plan(f"WITH {_TIERS} SELECT title_id, n, coalesce(one, two, three) AS canonical, CASE WHEN one IS NOT NULL THEN 1 WHEN two IS NOT NULL THEN 2 ELSE 3 END AS tier FROM t WHERE coalesce(one, two, three) IS NOT NULL")
@@ -118,8 +119,9 @@ def person_tiers_j11(spark, folder):
 @plan(f"WITH {_TIERS}, o AS (SELECT tmdb_id, min(coalesce(one, two, three)) AS person_id FROM t WHERE tmdb_id > 0 AND coalesce(one, two, three) IS NOT NULL GROUP BY 1), i AS (SELECT n % 211 AS image_id, min(n) AS tmdb_id FROM {_PERSONS} GROUP BY 1) SELECT image_id, person_id FROM i JOIN o USING (tmdb_id)")
 def image_owners_j12(spark, folder):
     """Images led to people by the TMDB id of their first row."""
-    images = _persons(spark, folder).select((F.col("n") % 211).alias("image_id"), F.col("n").alias("tmdb_id"), F.col("n").alias("place"))
-    return identity.canonical_images(images, _matched(spark, folder)).select("image_id", "person_id")
+    cast = cut(_cast(spark, folder).select("title_id", "name_id").distinct())  # lines are taken apart once, not for each of its seven uses
+    images = _persons(spark, folder, cast).select((F.col("n") % 211).alias("image_id"), F.col("n").alias("tmdb_id"), F.col("n").alias("place"))
+    return identity.canonical_images(images, _matched(spark, folder, cast)).select("image_id", "person_id")
 
 
 @plan(f"WITH a AS (SELECT CASE n % 3 WHEN 0 THEN 'person:tmdb:' || n WHEN 1 THEN id ELSE 'person:tmdb:' || n || 'x' END AS id FROM {_PERSONS}) SELECT a.id, coalesce(p.id, q.id, a.id) AS canonical FROM a LEFT JOIN {_PERSONS} p ON p.id = a.id LEFT JOIN {_PERSONS} q ON q.tmdb_id > 0 AND a.id = 'person:tmdb:' || q.tmdb_id")

@@ -60,3 +60,22 @@ def test_ids_that_are_no_numbers_stop_no_query(spark, tmp_path, name, wanted):
     lines = [(n, f"tt1\t{n}\t{i}\tactor\t\\N\t\\N") for n, i in enumerate(ids)]
     rows(spark, lines, "line_no bigint, line string").write.parquet(f"{tmp_path}/raw_title_principals.parquet")
     assert {tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()} == wanted
+
+
+def test_owners_of_images_are_found_with_the_lines_read_once(spark, tmp_path):
+    import __spark_entry__
+
+    cast = {"tt1": ["nm2", "nm6", "nm217", "nm212", "nm2", "nm", "nm6x", r"\N"], "tt2": ["nm12", "nm424", "nm7", "", "6"]}
+    lines = [(n, f"{title}\t{n}\t{i}\tactor\t\\N\t\\N") for title, ids in cast.items() for n, i in enumerate(ids)]
+    rows(spark, lines, "line_no bigint, line string").write.parquet(f"{tmp_path}/raw_title_principals.parquet")
+    got = __spark_entry__.queries()["image_owners_j12"](spark, str(tmp_path))
+    # 2 and 212 by name, 6 and 12 by TMDB id; 217 and 424 are later rows of images 6 and 2, 7 matches nobody
+    assert {tuple(r) for r in got.collect()} == {(2, "nm2"), (1, "nm212"), (6, "nm6"), (12, "nm12")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 1
+
+
+def test_owners_of_images_of_an_empty_table(spark, tmp_path):
+    import __spark_entry__
+
+    rows(spark, [], "line_no bigint, line string").write.parquet(f"{tmp_path}/raw_title_principals.parquet")
+    assert __spark_entry__.queries()["image_owners_j12"](spark, str(tmp_path)).collect() == []
